@@ -36,5 +36,14 @@ def parse_float(text: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """``100 * part / whole``; null when ``whole`` is zero."""
+    """``part / whole * 100``; null when ``whole`` is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Scale, round to the nearest whole number (ties to even), scale back: what array libraries do.
+
+    ``bround`` looks at the decimal text instead and differs for values like 63.349999999999994.
+    """
+    scale = F.lit(10.0**digits)
+    return F.rint(value * scale) / scale

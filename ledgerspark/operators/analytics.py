@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import percent
+from ledgerspark.functions.numbers import percent, round_half_even
 from ledgerspark.functions.text import is_blank
 from ledgerspark.operators.filters import is_from_rule, is_manual, without_blank_labels
 
@@ -121,7 +121,7 @@ def yearly_progress(marked: DataFrame) -> DataFrame:
     """
     pivot = yearly_pivot(marked)
     both = pivot.agg(((F.sum("Categorized") > 0) & (F.sum("Uncategorized") > 0)).alias("both")).scalar()
-    share = F.bround(percent(F.col("Categorized"), F.col("Total")), 1)
+    share = round_half_even(percent(F.col("Categorized"), F.col("Total")), 1)
     return pivot.filter(both).withColumn("Categorized_Pct", share)
 
 

@@ -44,7 +44,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, name: str =
     first, last = (number - 1) * size + 1, number * size
     if last <= TOP_K_LIMIT:
         top = df.orderBy(*order).limit(last)
-        ranked = top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+        ranked = top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     else:
         ranked = numbered(df, order, name)
     return ranked.filter(F.col(name).between(first, last))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerspark.functions import dates, numbers, text
 from ledgerspark.operators import analytics, catalog, conditions, filters, identity, labels, matching, normalize, paging
@@ -14,7 +13,7 @@ from ledgerspark.plans.demo import DEMO_RULES, both, either, leaf, wide_rules
 from ledgerspark.plans.views import Views, with_views
 from ledgerspark.schema import LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS
 from ledgerspark.session import scratch_folder
-from ledgerspark.sources import documents, exports, tables
+from ledgerspark.sources import exports, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,7 +311,7 @@ def _(v):
 @query(
     "rule_performance",
     """SELECT rule_id, CASE WHEN rule_id = 'mid' THEN 'Rule ID: mid' ELSE rule_id END AS rule_name,
-       count(*) AS transactions_matched, 100.0 * count(*) / (SELECT count(*) FROM categorized) AS percentage
+       count(*) AS transactions_matched, count(*) / (SELECT count(*) FROM categorized) * 100 AS percentage
 FROM categorized WHERE rule_id IS NOT NULL GROUP BY rule_id""",
     "txn_orders",
     also=CATEGORIZED,
@@ -560,8 +559,8 @@ def _(v):
     "header_metrics",
     """SELECT count(*) AS total_transactions, count(*) FILTER (trim(Category) <> '') AS categorized,
        count(*) FILTER (starts_with(Categorization_Source, 'Rule:')) AS rule_based,
-       100.0 * count(*) FILTER (trim(Category) <> '') / count(*) AS categorized_pct,
-       100.0 * count(*) FILTER (starts_with(Categorization_Source, 'Rule:')) / count(*) AS rule_based_pct FROM categorized""",
+       count(*) FILTER (trim(Category) <> '') / count(*) * 100 AS categorized_pct,
+       count(*) FILTER (starts_with(Categorization_Source, 'Rule:')) / count(*) * 100 AS rule_based_pct FROM categorized""",
     "txn_orders", also=CATEGORIZED,
 )
 def _(v):
@@ -571,7 +570,7 @@ def _(v):
 @query(
     "progress",
     """SELECT t.n AS total_transactions, e.n AS categorized, t.n - e.n AS uncategorized, m.n AS categorized_present,
-       100.0 * e.n / t.n AS progress_pct
+       e.n / t.n * 100 AS progress_pct
 FROM (SELECT count(*) AS n FROM txn_orders) t, (SELECT count(*) AS n FROM effective) e,
      (SELECT count(*) AS n FROM marked WHERE Status = 'Categorized') m""",
     "txn_orders", "labels_orders", also=MARKED,
@@ -583,7 +582,7 @@ def _(v):
 @query(
     "category_distribution",
     """SELECT Category, count(*) AS transactions,
-       100.0 * count(*) / (SELECT count(*) FROM effective WHERE trim(Category) <> '') AS percentage
+       count(*) / (SELECT count(*) FROM effective WHERE trim(Category) <> '') * 100 AS percentage
 FROM effective WHERE trim(Category) <> '' GROUP BY Category""",
     "txn_orders", "labels_orders", also=EFFECTIVE,
 )
@@ -658,7 +657,7 @@ def _(v):
 
 @query(
     "yearly_progress",
-    f"""{_PIVOT_SQL}, round_even(100.0 * count(*) FILTER (Status = 'Categorized') / count(*), 1) AS Categorized_Pct
+    f"""{_PIVOT_SQL}, round_even(count(*) FILTER (Status = 'Categorized') / count(*) * 100 * 10, 0) / 10 AS Categorized_Pct
 FROM marked WHERE Date IS NOT NULL GROUP BY 1""",
     "txn_orders", "labels_orders", also=MARKED,
 )
@@ -668,7 +667,7 @@ def _(v):
 
 @query(
     "overall_status",
-    """SELECT t.n AS total_transactions, e.n AS categorized, t.n - e.n AS uncategorized, 100.0 * e.n / t.n AS categorized_pct
+    """SELECT t.n AS total_transactions, e.n AS categorized, t.n - e.n AS uncategorized, e.n / t.n * 100 AS categorized_pct
 FROM (SELECT count(*) AS n FROM txn_orders) t, (SELECT count(*) AS n FROM effective WHERE trim(Category) <> '') e""",
     "txn_orders", "labels_orders", also=EFFECTIVE,
 )
@@ -701,7 +700,7 @@ _rules_query(
 )
 _rules_query("rules_avg_priority", "SELECT avg(coalesce(priority, 50)) AS average_priority FROM rules_part", catalog.average_priority)
 _rules_query(
-    "rules_activation", f"SELECT 100.0 * count(*) FILTER ({_ACTIVE}) / count(*) AS activation_rate FROM rules_part", catalog.activation_rate
+    "rules_activation", f"SELECT count(*) FILTER ({_ACTIVE}) / count(*) * 100 AS activation_rate FROM rules_part", catalog.activation_rate
 )
 _rules_query("rules_distinct_categories", "SELECT count(DISTINCT category) AS categories_used FROM rules_part", catalog.distinct_category_count)
 _rules_query(
@@ -840,7 +839,7 @@ def _(v):
 @query(
     "tree_by_category",
     f"""SELECT category, count(*) AS subcategories, count(*) FILTER ({_ACTIVE}) AS active_subcategories,
-       count(*) FILTER (NOT {_ACTIVE}) AS inactive_subcategories, 100.0 * count(*) FILTER ({_ACTIVE}) / count(*) AS active_pct
+       count(*) FILTER (NOT {_ACTIVE}) AS inactive_subcategories, count(*) FILTER ({_ACTIVE}) / count(*) * 100 AS active_pct
 FROM tree_part GROUP BY category""",
     "tree_part",
 )
@@ -1034,7 +1033,7 @@ def _(v):
 @query(
     "scalar_number",
     """SELECT volgnr, try_cast(replace(bedrag, ',', '.') AS double) AS amount, abs(try_cast(replace(bedrag, ',', '.') AS double)) AS size,
-       cast(volgnr AS bigint) AS number, round_even(100.0 * cast(volgnr AS bigint) / 16000, 1) AS share FROM raw_a""",
+       cast(volgnr AS bigint) AS number, round_even(cast(volgnr AS bigint) / 16000 * 100 * 10, 0) / 10 AS share FROM raw_a""",
     "raw_a",
 )
 def _(v):
@@ -1045,7 +1044,7 @@ def _(v):
         amount.alias("amount"),
         F.abs(amount).alias("size"),
         number.alias("number"),
-        F.bround(numbers.percent(number, F.lit(16000)), 1).alias("share"),
+        numbers.round_half_even(numbers.percent(number, F.lit(16000)), 1).alias("share"),
     )
 
 
@@ -1137,20 +1136,21 @@ def _(v):
 
 
 @query(
-    "rules_document",
+    "catalogue_snapshot",
     "SELECT seq, id, name, category, subcategory, priority, active, conditions FROM rules_part",
     "rules_part",
 )
 def _(v):
-    path = f"{scratch_folder(v.spark)}/rules"
-    documents.write_rules(v.rules_part, path)
-    return documents.read_rules(v.spark, path).select("seq", "id", "name", "category", "subcategory", "priority", "active", "conditions")
+    base = f"{scratch_folder(v.spark)}/rules"
+    tables.write_snapshot(v.rules_part, base)
+    stored = tables.read_latest(v.spark, base, v.rules_part.schema)
+    return stored.select("seq", "id", "name", "category", "subcategory", "priority", "active", "conditions")
 
 
 @query(
     "flagship",
     """SELECT Category, count(*) AS transactions,
-       100.0 * count(*) / (SELECT count(*) FROM categorized WHERE Category <> '') AS percentage
+       count(*) / (SELECT count(*) FROM categorized WHERE Category <> '') * 100 AS percentage
 FROM categorized WHERE Category <> '' GROUP BY Category""",
     "txn_orders", also=CATEGORIZED,
 )

@@ -102,17 +102,17 @@ def load_exports(
         elif len(set(header)) != len(header):
             rejected.append((file.path, "repeated column names"))
         else:
-            groups.setdefault((layout, tuple(header), file.encoding, file.multi_line), []).append(file.path)
+            groups.setdefault((layouts.index(layout), tuple(header), file.encoding, file.multi_line), []).append(file.path)
 
     tables, overfull = [], []
-    for (layout, header, encoding, multi_line), paths in groups.items():
+    for (place, header, encoding, multi_line), paths in groups.items():
         raw = _read_alike(spark, paths, header, encoding, multi_line)
         overfull.append(
             raw.filter(F.col(_OVERFLOW).isNotNull()).select(
                 "Source_File", F.to_json(F.struct(*[F.col(f"`{name}`") for name in header], _OVERFLOW)).alias("row")
             )
         )
-        tables.append(normalize(raw.filter(F.col(_OVERFLOW).isNull()), layout, money_type, strip_thousands))
+        tables.append(normalize(raw.filter(F.col(_OVERFLOW).isNull()), layouts[place], money_type, strip_thousands))
 
     transactions = with_transaction_id(union_tables(tables)) if tables else empty_transactions(spark)
     if unique_ids and tables:
