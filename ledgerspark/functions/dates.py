@@ -28,20 +28,25 @@ def parse_iso(text: Column) -> Column:
     return parse_date(text, ISO_FORMATS)
 
 
-def moment(as_of: dt.datetime | dt.date | str) -> Column:
-    """A fixed point in time, standing in for the clock."""
-    text = as_of if isinstance(as_of, str) else as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of.isoformat()
-    return F.lit(text).cast("timestamp_ntz")
+def as_datetime(as_of: dt.datetime | dt.date | str) -> dt.datetime:
+    """The point in time that stands in for the clock."""
+    if isinstance(as_of, dt.datetime):
+        return as_of
+    return dt.datetime.fromisoformat(as_of if isinstance(as_of, str) else as_of.isoformat())
 
 
-def days_before(as_of, days: int) -> Column:
-    return moment(as_of) - F.make_dt_interval(F.lit(days))
+def moment(as_of) -> Column:
+    """A point in time as a constant that filters can push down."""
+    return F.lit(as_datetime(as_of).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def year_start(as_of, years_back: int = 0) -> Column:
+def days_before(as_of, days: int) -> dt.datetime:
+    return as_datetime(as_of) - dt.timedelta(days=days)
+
+
+def year_start(as_of, years_back: int = 0) -> dt.datetime:
     """1 January of the year of ``as_of``, or of an earlier year."""
-    start = F.trunc(moment(as_of).cast("date"), "YEAR")
-    return F.add_months(start, -12 * years_back).cast("timestamp_ntz")
+    return dt.datetime(as_datetime(as_of).year - years_back, 1, 1)
 
 
 def age_text(created: Column, as_of) -> Column:

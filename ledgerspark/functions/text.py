@@ -47,7 +47,7 @@ def timestamp_text(value: Column) -> Column:
     """``2025-10-05 00:00:00``, with six fraction digits when there is a fraction."""
     seconds = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
     fraction = F.date_format(value, "SSSSSS")
-    return F.when(fraction == "000000", seconds).otherwise(F.concat_ws(".", seconds, fraction))
+    return F.when(fraction == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), fraction))
 
 
 def text_form(value: Column, data_type: T.DataType) -> Column:

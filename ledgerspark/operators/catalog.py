@@ -107,7 +107,7 @@ def creation_timeline(rules: DataFrame) -> DataFrame:
 
 
 def created_recently(rules: DataFrame, as_of, days: int = 7) -> DataFrame:
-    return rules.filter(dates.parse_iso(F.col("created_at")) > dates.days_before(as_of, days))
+    return rules.filter(dates.parse_iso(F.col("created_at")) > dates.moment(dates.days_before(as_of, days)))
 
 
 def by_priority_order(default: int = 0) -> list[Column]:

@@ -45,17 +45,27 @@ def by_period(df: DataFrame, which: str | None, as_of=None) -> DataFrame:
     """``last30``, ``last90``, ``this_year`` or ``last_year``, seen from ``as_of``.
 
     Only ``last_year`` has an upper end. The bounds are constants, so they reach
-    the scan as pushed filters and prune year partitions.
+    the scan as pushed filters; with a Year column they also prune its folders.
     """
     if which is None:
         return df
+    until = None
     if which in ("last30", "last90"):
-        return df.filter(F.col("Date") >= dates.days_before(as_of, int(which[4:])))
-    if which == "this_year":
-        return df.filter(F.col("Date") >= dates.year_start(as_of))
-    if which == "last_year":
-        return df.filter((F.col("Date") >= dates.year_start(as_of, 1)) & (F.col("Date") < dates.year_start(as_of)))
-    raise ValueError(f"unknown period {which!r}")
+        since = dates.days_before(as_of, int(which[4:]))
+    elif which == "this_year":
+        since = dates.year_start(as_of)
+    elif which == "last_year":
+        since, until = dates.year_start(as_of, 1), dates.year_start(as_of)
+    else:
+        raise ValueError(f"unknown period {which!r}")
+    kept = df.filter(F.col("Date") >= dates.moment(since))
+    if until is not None:
+        kept = kept.filter(F.col("Date") < dates.moment(until))
+    if "Year" in df.columns:
+        kept = kept.filter(F.col("Year") >= since.year)
+        if until is not None:
+            kept = kept.filter(F.col("Year") < until.year)
+    return kept
 
 
 def by_label(df: DataFrame, labels: DataFrame, mode: str = "uncategorized") -> DataFrame:

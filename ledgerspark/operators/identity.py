@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 
 from ledgerspark.functions.text import text_form
 from ledgerspark.schema import IDENTITY_COLUMNS, TRANSACTION_COLUMNS
+from ledgerspark.session import ensure_checkpoint_dir
 
 # Copies of one row are numbered in slices of this size, each its own task input.
 COPIES_PER_SLICE = 100_000
+# Up to this many numbered contents (about 100 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 # Leading hex digits of the content hash that split a much-repeated ID.
 _BUCKET_DIGITS = 4
 
@@ -66,25 +69,35 @@ def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFra
     "First" is by row content (its md5), so file order and reruns do not matter.
     Rows are never grouped whole by ID: the running index comes from counts per
     (ID, content hash), which partial aggregation shrinks before the shuffle, and
-    a much-repeated ID is split by the leading digits of the content hash. Only
-    IDs that do repeat are joined back; when these are few, the join turns into
-    a broadcast at run time and the wide rows are not shuffled at all. Exact
-    copies of a row are counted, then written out again slice by slice.
+    a much-repeated ID is split by the leading digits of the content hash. The
+    counts of the IDs that do repeat are checkpointed and joined back: as a
+    broadcast when they are few, so that the wide rows are not shuffled, else as
+    a shuffle join. Exact copies of a row are counted, then written out again
+    slice by slice. Runs one job over the ID and content columns when called.
     """
     columns = df.columns
     hashed = df.withColumn("__content", content_hash(df, columns))
-    starts = _start_numbers(hashed.select(F.col(id_column).alias("__id"), "__content"))
+    ensure_checkpoint_dir(df.sparkSession)
+    starts = _start_numbers(hashed.select(F.col(id_column).alias("__id"), "__content")).checkpoint()
+    found = starts.agg(F.count("*").alias("rows"), F.count_if(F.col("__copies") > 1).alias("copied")).first()
+    if not found.rows:
+        return df
 
     joined = hashed.join(
-        starts,
+        F.broadcast(starts) if found.rows <= BROADCAST_ROWS else starts,
         (F.col(id_column) == F.col("__id")) & (F.col("__content") == F.col("__content_key")),
         "left",
     ).drop("__content", "__content_key", "__id")
+    numbered = joined.withColumn("__n", F.coalesce(F.col("__start"), F.lit(0)))
+    if found.copied:
+        once = numbered.filter(F.coalesce(F.col("__copies"), F.lit(1)) == 1).select(*columns, "__n")
+        numbered = once.unionByName(_write_out_copies(joined.filter(F.col("__copies") > 1), columns, id_column))
+    suffixed = F.when(F.col("__n") > 0, F.concat_ws("_", id_column, F.col("__n").cast("string")))
+    return numbered.withColumn(id_column, suffixed.otherwise(F.col(id_column))).select(*columns)
 
-    once = joined.filter(F.coalesce(F.col("__copies"), F.lit(1)) == 1)
-    once = once.withColumn("__n", F.coalesce(F.col("__start"), F.lit(0)))
 
-    copied = joined.filter(F.col("__copies") > 1)
+def _write_out_copies(copied: DataFrame, columns: list[str], id_column: str) -> DataFrame:
+    """Equal rows, counted and then repeated with consecutive numbers, in slices that spread over tasks."""
     copied = copied.groupBy(*columns, "__start").agg(F.count("*").alias("__copies"))
     last_slice = F.expr(f"(__copies - 1) div {COPIES_PER_SLICE}")
     copied = copied.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), last_slice)))
@@ -92,11 +105,7 @@ def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFra
     first = F.col("__slice") * COPIES_PER_SLICE
     last = F.least(first + (COPIES_PER_SLICE - 1), F.col("__copies") - 1)
     copied = copied.withColumn("__copy", F.explode(F.sequence(first, last)))
-    copied = copied.withColumn("__n", F.col("__start") + F.col("__copy"))
-
-    numbered = once.select(*columns, "__n").unionByName(copied.select(*columns, "__n"))
-    suffixed = F.when(F.col("__n") > 0, F.concat_ws("_", id_column, F.col("__n").cast("string")))
-    return numbered.withColumn(id_column, suffixed.otherwise(F.col(id_column))).select(*columns)
+    return copied.withColumn("__n", F.col("__start") + F.col("__copy")).select(*columns, "__n")
 
 
 def _start_numbers(keys: DataFrame) -> DataFrame:

@@ -1026,7 +1026,7 @@ def _(v):
         F.date_format(created, "yyyy-MM-dd").alias("day_text"),
         F.year(created).alias("created_year"),
         (created - F.make_dt_interval(F.lit(30))).alias("month_before"),
-        (created >= dates.year_start(RULES_AS_OF)).alias("this_year"),
+        (created >= dates.moment(dates.year_start(RULES_AS_OF))).alias("this_year"),
     )
 
 

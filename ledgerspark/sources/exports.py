@@ -149,4 +149,6 @@ def _read_alike(spark, paths, header, encoding, multi_line) -> DataFrame:
     values = [
         F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`")).alias(name) for name in header
     ]
-    return raw.select(*values, _OVERFLOW, F.col("_metadata.file_name").alias("Source_File"))
+    # The metadata column is URI-encoded, where a plus sign stands for itself.
+    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return raw.select(*values, _OVERFLOW, file_name.alias("Source_File"))

@@ -60,6 +60,14 @@ def write_transactions(df: DataFrame, path: str) -> None:
     df.withColumn("Year", F.year("Date")).write.partitionBy("Year").parquet(path)
 
 
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """The default store, with its Year column; empty when absent."""
+    schema = T.StructType([*TRANSACTION_SCHEMA.fields, T.StructField("Year", T.IntegerType())])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, base: str, now: dt.datetime | None = None) -> str:
     """Write a changed table beside its earlier versions and return the new path.
 
