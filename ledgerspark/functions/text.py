@@ -23,9 +23,16 @@ def join_non_empty(*parts: Column) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """A double as shortest decimal text: ``100.0``, ``12.5``, ``1e+16``, ``5e-05``."""
-    plain = F.regexp_replace(value.try_cast("decimal(18,2)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    """A double as shortest decimal text: ``100.0``, ``12.5``, ``1e+16``, ``5e-05``.
+
+    Money of everyday size takes the first branch, a plain cast; the others only
+    work for values that the cast would show with an exponent or stray digits.
+    """
+    size = F.abs(value)
     shortest = value.cast("string")
+    two_decimals = F.rint(value * 100) / 100 == value
+    money = value.try_cast("decimal(18,2)").cast("string")
+    money = F.when(F.endswith(money, F.lit("0")), F.left(money, F.length(money) - 1)).otherwise(money)
     digits = F.regexp_replace(shortest.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
     mantissa = F.regexp_replace(F.substring_index(shortest, "E", 1), r"\.0$", "")
     exponent = F.substring_index(shortest, "E", -1).try_cast("int")
@@ -34,10 +41,9 @@ def float_text(value: Column) -> Column:
         F.when(exponent < 0, "e-").otherwise("e+"),
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
-    size = F.abs(value)
-    two_decimals = (size < 1e15) & (F.round(value, 2) == value)
     return (
-        F.when(two_decimals, plain)
+        F.when(two_decimals & ((size >= 1e-3) & (size < 1e7) | (size == 0)), shortest)
+        .when(two_decimals & (size < 1e15), money)
         .when((size >= 1e-4) & (size < 1e16), digits)
         .otherwise(scientific)
     )
@@ -45,9 +51,8 @@ def float_text(value: Column) -> Column:
 
 def timestamp_text(value: Column) -> Column:
     """``2025-10-05 00:00:00``, with six fraction digits when there is a fraction."""
-    seconds = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    fraction = F.date_format(value, "SSSSSS")
-    return F.when(fraction == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), fraction))
+    shortest = value.cast("string")
+    return F.when(F.length(shortest) <= 19, shortest).otherwise(F.rpad(shortest, 26, "0"))
 
 
 def text_form(value: Column, data_type: T.DataType) -> Column:

@@ -13,8 +13,10 @@ from ledgerspark.session import ensure_checkpoint_dir
 
 # Copies of one row are numbered in slices of this size, each its own task input.
 COPIES_PER_SLICE = 100_000
-# Up to this many numbered contents (about 100 bytes each) are broadcast.
+# Up to this many IDs or numbered contents (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
+# An ID with more rows than this is numbered in buckets of its contents.
+HOT_ROWS = 1_000_000
 # Leading hex digits of the content hash that split a much-repeated ID.
 _BUCKET_DIGITS = 4
 
@@ -67,22 +69,30 @@ def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFra
     """Suffix repeated IDs with ``_1``, ``_2``, …; the first keeps the plain ID.
 
     "First" is by row content (its md5), so file order and reruns do not matter.
-    Rows are never grouped whole by ID: the running index comes from counts per
-    (ID, content hash), which partial aggregation shrinks before the shuffle, and
-    a much-repeated ID is split by the leading digits of the content hash. The
-    counts of the IDs that do repeat are checkpointed and joined back: as a
-    broadcast when they are few, so that the wide rows are not shuffled, else as
-    a shuffle join. Exact copies of a row are counted, then written out again
-    slice by slice. Runs one job over the ID and content columns when called.
+    Rows are never grouped whole by ID. A count per ID finds the repeated ones,
+    and reads the ID column only; contents are then counted for those alone. The
+    running index is a sum over these counts; an ID with very many rows is split
+    by the leading digits of the content hash. What has to change is joined back:
+    as a broadcast when it is little, so that the wide rows are not shuffled,
+    else as a shuffle join. Exact copies of a row are counted, then written out
+    again slice by slice. The counting runs when the function is called.
     """
     columns = df.columns
-    hashed = df.withColumn("__content", content_hash(df, columns))
     ensure_checkpoint_dir(df.sparkSession)
-    starts = _start_numbers(hashed.select(F.col(id_column).alias("__id"), "__content")).checkpoint()
-    found = starts.agg(F.count("*").alias("rows"), F.count_if(F.col("__copies") > 1).alias("copied")).first()
-    if not found.rows:
+    per_id = df.groupBy(F.col(id_column).alias("__rid")).agg(F.count("*").alias("__rows"))
+    repeated = per_id.filter(F.col("__rows") > 1).checkpoint()
+    sizes = repeated.agg(F.count("*").alias("ids"), F.count_if(F.col("__rows") > HOT_ROWS).alias("hot")).first()
+    if not sizes.ids:
         return df
 
+    hashed = df.withColumn("__content", content_hash(df, columns))
+    keys = hashed.select(F.col(id_column).alias("__id"), "__content").join(
+        F.broadcast(repeated) if sizes.ids <= BROADCAST_ROWS else repeated, F.col("__id") == F.col("__rid")
+    )
+    starts = _start_numbers(keys, split=sizes.hot > 0)
+    starts = starts.filter((F.col("__start") > 0) | (F.col("__copies") > 1)).checkpoint()
+    found = starts.agg(F.count("*").alias("rows"), F.count_if(F.col("__copies") > 1).alias("copied")).first()
+
     joined = hashed.join(
         F.broadcast(starts) if found.rows <= BROADCAST_ROWS else starts,
         (F.col(id_column) == F.col("__id")) & (F.col("__content") == F.col("__content_key")),
@@ -108,34 +118,29 @@ def _write_out_copies(copied: DataFrame, columns: list[str], id_column: str) ->
     return copied.withColumn("__n", F.col("__start") + F.col("__copy")).select(*columns, "__n")
 
 
-def _start_numbers(keys: DataFrame) -> DataFrame:
+def _start_numbers(keys: DataFrame, split: bool) -> DataFrame:
     """Per (ID, content) of a repeated ID: the first index and the number of copies."""
-    per_content = keys.groupBy("__id", "__content").agg(F.count("*").alias("__copies"))
-    repeated = (
-        per_content.groupBy(F.col("__id").alias("__rid"))
-        .agg(F.sum("__copies").alias("__rows"))
-        .filter(F.col("__rows") > 1)
-    )
-    per_content = per_content.join(repeated, F.col("__id") == F.col("__rid"), "left_semi").withColumn("__bucket", F.substring("__content", 1, _BUCKET_DIGITS))
-
-    # At most 16 ** _BUCKET_DIGITS rows per ID, whatever the size of the group.
-    per_bucket = per_content.groupBy("__id", "__bucket").agg(F.sum("__copies").alias("__bucket_rows"))
-    before = Window.partitionBy("__id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        F.col("__id").alias("__oid"),
-        F.col("__bucket").alias("__obucket"),
-        F.coalesce(F.sum("__bucket_rows").over(before), F.lit(0)).alias("__offset"),
+    bucket = F.when(F.col("__rows") > HOT_ROWS, F.substring("__content", 1, _BUCKET_DIGITS)).otherwise("")
+    per_content = (
+        keys.groupBy("__id", "__content", "__rows")
+        .agg(F.count("*").alias("__copies"))
+        .withColumn("__bucket", bucket if split else F.lit(""))
     )
     inside = (
         Window.partitionBy("__id", "__bucket").orderBy("__content").rowsBetween(Window.unboundedPreceding, -1)
     )
-    within = per_content.withColumn("__within", F.coalesce(F.sum("__copies").over(inside), F.lit(0)))
-    return within.join(
-        offsets,
-        (F.col("__id") == F.col("__oid")) & (F.col("__bucket") == F.col("__obucket")),
-    ).select(
-        "__id",
-        F.col("__content").alias("__content_key"),
-        "__copies",
-        (F.col("__within") + F.col("__offset")).alias("__start"),
-    )
+    start = F.coalesce(F.sum("__copies").over(inside), F.lit(0))
+    counted = per_content.withColumn("__start", start)
+    if split:
+        # Only IDs with very many rows have buckets, at most 16 ** _BUCKET_DIGITS each.
+        before = Window.partitionBy("__oid").orderBy("__obucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (
+            per_content.filter(F.col("__bucket") != "")
+            .groupBy(F.col("__id").alias("__oid"), F.col("__bucket").alias("__obucket"))
+            .agg(F.sum("__copies").alias("__bucket_rows"))
+            .withColumn("__offset", F.coalesce(F.sum("__bucket_rows").over(before), F.lit(0)))
+        )
+        counted = counted.join(
+            offsets, (F.col("__id") == F.col("__oid")) & (F.col("__bucket") == F.col("__obucket")), "left"
+        ).withColumn("__start", F.col("__start") + F.coalesce(F.col("__offset"), F.lit(0)))
+    return counted.select("__id", F.col("__content").alias("__content_key"), "__copies", "__start")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.identity import with_transaction_id, with_unique_ids
 from ledgerspark.operators.normalize import canonical_columns, empty_transactions, normalize, union_tables
 from ledgerspark.schema import LAYOUTS, Layout
+from ledgerspark.session import scratch_folder
 
 EXPORT_FILES = "*.{csv,CSV}"
 # Texts the usual table readers take for a missing value.
@@ -86,11 +87,16 @@ def load_exports(
     unique_ids: bool = True,
     money_type: str = "double",
     strip_thousands: bool = False,
+    staging: str | None = None,
 ) -> ExportLoad:
     """All export files below a folder as one canonical table with IDs.
 
     Files whose header fits no layout are listed as rejected and the rest goes
     on; rows with more fields than their header are rejected one by one.
+
+    Making IDs unique reads the table more than once, so the parsed rows are
+    first written as Parquet to ``staging`` (a new folder beside the checkpoints
+    by default); the result reads from there.
     """
     groups: dict[tuple, list[str]] = {}
     rejected: list[tuple[str, str]] = []
@@ -116,7 +122,9 @@ def load_exports(
 
     transactions = with_transaction_id(union_tables(tables)) if tables else empty_transactions(spark)
     if unique_ids and tables:
-        transactions = with_unique_ids(transactions)
+        staging = staging or scratch_folder(spark)
+        transactions.write.parquet(staging)
+        transactions = with_unique_ids(spark.read.schema(transactions.schema).parquet(staging))
     no_rows = spark.createDataFrame([], "Source_File string, row string")
     rejected_rows = no_rows
     for table in overfull:

@@ -60,14 +60,16 @@ def test_suffixes_do_not_depend_on_row_order(spark):
     assert sorted(one) == sorted(other)
 
 
-def test_hot_id_is_split(spark):
+def test_hot_id_is_split(spark, monkeypatch):
     """Half of all rows share an ID; a third of them are exact copies."""
     df = spark.range(60_000).select(
         F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id").cast("string"))).alias("Transaction_ID"),
         F.when(F.col("id") % 6 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"),
     )
+    whole = sorted(identity.with_unique_ids(df).collect())
+    monkeypatch.setattr(identity, "HOT_ROWS", 1000)
     done = identity.with_unique_ids(df)
-    assert done.count() == 60_000
+    assert sorted(done.collect()) == whole and len(whole) == 60_000
     assert done.select("Transaction_ID").distinct().count() == 60_000
     assert done.filter(F.startswith("Transaction_ID", F.lit("HOT"))).count() == 30_000
 
