@@ -94,7 +94,7 @@ def collapse_ends(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or only white space."""
-    return F.coalesce(collapse_ends(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def literal_pattern(text: str) -> str:

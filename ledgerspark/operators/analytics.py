@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerspark.functions.numbers import percent, round_half_even
 from ledgerspark.functions.text import is_blank
@@ -30,15 +31,28 @@ def progress(transactions: DataFrame, labels: DataFrame) -> DataFrame:
     """Total, labelled, unlabelled and share.
 
     ``categorized`` counts label rows, stale ones too, and so can pass the
-    total; ``categorized_present`` counts labelled rows of the table itself.
+    total; ``categorized_present`` counts rows of the table with a usable label.
+    Both tables are read once and meet in one aggregation by ID.
     """
-    marked = with_status(transactions, labels)
-    figures = marked.agg(
-        F.count("*").alias("total_transactions"),
-        F.count_if(F.col("Status") == "Categorized").alias("categorized_present"),
+    sides = transactions.select(
+        "Transaction_ID", F.lit(1).alias("rows"), F.lit(0).alias("labels"), F.lit(False).alias("usable")
+    ).unionByName(
+        labels.select(
+            "Transaction_ID",
+            F.lit(0).alias("rows"),
+            F.lit(1).alias("labels"),
+            (~is_blank(F.col("Category"))).alias("usable"),
+        )
+    )
+    per_id = sides.groupBy("Transaction_ID").agg(
+        F.sum("rows").alias("rows"), F.sum("labels").alias("labels"), F.bool_or("usable").alias("usable")
     )
-    labelled = labels.agg(F.count("*").alias("n")).scalar()
-    return figures.withColumn("categorized", labelled).select(
+    figures = per_id.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_transactions"),
+        F.coalesce(F.sum("labels"), F.lit(0)).alias("categorized"),
+        F.coalesce(F.sum(F.when(F.col("usable"), F.col("rows"))), F.lit(0)).alias("categorized_present"),
+    )
+    return figures.select(
         "total_transactions",
         "categorized",
         (F.col("total_transactions") - F.col("categorized")).alias("uncategorized"),
@@ -120,16 +134,23 @@ def yearly_progress(marked: DataFrame) -> DataFrame:
     Empty unless both statuses occur somewhere.
     """
     pivot = yearly_pivot(marked)
-    both = pivot.agg(((F.sum("Categorized") > 0) & (F.sum("Uncategorized") > 0)).alias("both")).scalar()
+    # One row per calendar year, so a window over all of them is small.
+    all_years = Window.partitionBy()
+    both = (F.sum("Categorized").over(all_years) > 0) & (F.sum("Uncategorized").over(all_years) > 0)
     share = round_half_even(percent(F.col("Categorized"), F.col("Total")), 1)
-    return pivot.filter(both).withColumn("Categorized_Pct", share)
+    return pivot.withColumn("__both", both).filter("__both").drop("__both").withColumn("Categorized_Pct", share)
 
 
 def overall_status(transactions: DataFrame, labels: DataFrame) -> DataFrame:
     """Whole-table figures over the non-blank labels."""
-    total = transactions.agg(F.count("*").alias("total_transactions"))
-    labelled = without_blank_labels(labels).agg(F.count("*").alias("n")).scalar()
-    return total.withColumn("categorized", labelled).select(
+    sides = transactions.select(F.lit(1).alias("rows"), F.lit(0).alias("labels")).unionByName(
+        without_blank_labels(labels).select(F.lit(0).alias("rows"), F.lit(1).alias("labels"))
+    )
+    figures = sides.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_transactions"),
+        F.coalesce(F.sum("labels"), F.lit(0)).alias("categorized"),
+    )
+    return figures.select(
         "total_transactions",
         "categorized",
         (F.col("total_transactions") - F.col("categorized")).alias("uncategorized"),

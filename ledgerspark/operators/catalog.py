@@ -263,7 +263,12 @@ def tree_overview(categories: DataFrame, tree: DataFrame) -> DataFrame:
         F.coalesce("description", plain).alias("description"),
         F.when(is_active(), "Active").otherwise("Inactive").alias("status"),
     )
-    return above.join(below, "category", "left")
+    # A left join would keep a large category's subcategories in one task; an inner
+    # join can be split or broadcast, and the bare categories are added to it.
+    filled = below.join(above, "category")
+    bare = above.join(tree.select("category").distinct(), "category", "left_anti")
+    columns = ["category", "description", "status", "subcategory", "subcategory_description", "subcategory_status"]
+    return filled.select(*columns).unionByName(bare, allowMissingColumns=True)
 
 
 def tree_totals(categories: DataFrame, tree: DataFrame) -> DataFrame:
@@ -308,20 +313,40 @@ def update_rows(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFr
     ])
 
 
-def rename_rows(table: DataFrame, renames: DataFrame, name: str, within: list[str] = []) -> DataFrame:
-    """Give rows new names; a name that is empty, unchanged or taken is refused.
+def accepted_renames(table: DataFrame, renames: DataFrame, name: str, within: list[str] = []) -> DataFrame:
+    """The renames that are done; a new name that is empty, unchanged or taken is refused.
 
     ``renames`` has the columns of ``within``, ``name`` and ``new_name``, one row per
     old name; of two renames to one new name the alphabetically first is done.
     """
     wanted = renames.filter((F.coalesce("new_name", F.lit("")) != "") & (F.col("new_name") != F.col(name)))
+    existing = wanted.join(table.select(*within, name), [*within, name], "left_semi")
     taken = table.select(*within, F.col(name).alias("new_name")).distinct()
-    free = wanted.join(taken, [*within, "new_name"], "left_anti")
-    done = free.groupBy(*within, "new_name").agg(F.min(name).alias(name))
-    joined = table.join(done, [*within, name], "left")
+    free = existing.join(taken, [*within, "new_name"], "left_anti")
+    return free.groupBy(*within, "new_name").agg(F.min(name).alias(name))
+
+
+def apply_renames(table: DataFrame, accepted: DataFrame, name: str, within: list[str] = []) -> DataFrame:
+    joined = table.join(accepted, [*within, name], "left")
     return joined.withColumn(name, F.coalesce("new_name", name)).select(*table.columns)
 
 
+def rename_rows(table: DataFrame, renames: DataFrame, name: str, within: list[str] = []) -> DataFrame:
+    """Give rows new names where that is allowed (see ``accepted_renames``)."""
+    return apply_renames(table, accepted_renames(table, renames, name, within), name, within)
+
+
+def rename_categories(categories: DataFrame, tree: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rename categories and take their subcategories along."""
+    accepted = accepted_renames(categories, renames, "category")
+    return apply_renames(categories, accepted, "category"), apply_renames(tree, accepted, "category")
+
+
+def delete_categories(categories: DataFrame, tree: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delete categories with their subcategories."""
+    return delete_rows(categories, gone, ["category"]), delete_rows(tree, gone, ["category"])
+
+
 def delete_rows(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Remove by key. A category's children go with it when keyed by category alone."""
     return merge_by_key(table, keys, deletes=gone)

@@ -514,7 +514,7 @@ def _(v):
 
 def _label_changes(v: Views) -> DataFrame:
     """Two corrections for some labelled and some unlabelled transactions; the later one counts."""
-    chosen = v.txn_orders.filter(F.col("Sequence_Number") % 34 < 2)
+    chosen = v.txn_orders.filter(F.endswith("Description", F.lit("MACHINERY")))
     early = labels.label_rows(chosen.select("Transaction_ID", F.lit("Draft").alias("Category"), F.lit("Draft").alias("Subcategory")), "2024-02-01 08:00:00")
     late = labels.label_rows(
         chosen.filter(F.col("Amount") < 0).select("Transaction_ID", F.lit("Health").alias("Category"), F.lit("Care").alias("Subcategory")),
@@ -526,11 +526,11 @@ def _label_changes(v: Views) -> DataFrame:
 @query(
     "label_upsert",
     """SELECT l.* FROM labels_orders l WHERE NOT EXISTS (SELECT 1 FROM txn_orders t
-  WHERE t.Transaction_ID = l.Transaction_ID AND t.Sequence_Number % 34 < 2)
+  WHERE t.Transaction_ID = l.Transaction_ID AND ends_with(t.Description, 'MACHINERY'))
 UNION ALL SELECT Transaction_ID, CASE WHEN Amount < 0 THEN 'Health' ELSE 'Draft' END,
   CASE WHEN Amount < 0 THEN 'Care' ELSE 'Draft' END,
   CASE WHEN Amount < 0 THEN '2024-02-01 09:00:00' ELSE '2024-02-01 08:00:00' END, 'Manual'
-FROM txn_orders WHERE Sequence_Number % 34 < 2""",
+FROM txn_orders WHERE ends_with(Description, 'MACHINERY')""",
     "txn_orders", "labels_orders",
 )
 def _(v):
@@ -793,19 +793,19 @@ def _(v):
 
 @query(
     "rule_merge",
-    """SELECT id, seq, name, priority, created_at, created_by, last_modified_at FROM rules_part WHERE seq % 5 NOT IN (1, 2)
+    f"""SELECT id, seq, name, priority, created_at, created_by, last_modified_at FROM rules_part WHERE coalesce(priority, 50) BETWEEN 11 AND 89
 UNION ALL SELECT id, seq, 'changed ' || name, 42, coalesce(created_at, '2025-01-01T00:00:00'), coalesce(created_by, 'user'), '2025-01-01T00:00:00'
-FROM rules_part WHERE seq % 5 = 1
-UNION ALL SELECT 'new_' || id, seq, 'changed ' || name, 42, '2025-01-01T00:00:00', 'user', NULL FROM rules_part WHERE seq % 5 = 1 AND seq % 2 = 0""",
+FROM rules_part WHERE priority >= 90
+UNION ALL SELECT 'new_' || id, seq, 'changed ' || name, 42, '2025-01-01T00:00:00', 'user', NULL FROM rules_part WHERE priority >= 90 AND {_ACTIVE}""",
     "rules_part",
 )
 def _(v):
     rules = v.rules_part
-    changed = rules.filter(F.col("seq") % 5 == 1).withColumns(
+    changed = rules.filter(F.col("priority") >= 90).withColumns(
         {"name": F.concat(F.lit("changed "), "name"), "priority": F.lit(42)}
     )
-    added = changed.filter(F.col("seq") % 2 == 0).withColumn("id", F.concat(F.lit("new_"), "id"))
-    kept = catalog.delete_rows(rules, rules.filter(F.col("seq") % 5 == 2), ["id"])
+    added = changed.filter(catalog.is_active()).withColumn("id", F.concat(F.lit("new_"), "id"))
+    kept = catalog.delete_rows(rules, rules.filter(F.col("priority") <= 10), ["id"])
     merged = catalog.upsert_rules(kept, changed.unionByName(added), "2025-01-01T00:00:00")
     return merged.select("id", "seq", "name", "priority", "created_at", "created_by", "last_modified_at")
 

@@ -48,18 +48,18 @@ SELECT 'NL' || lpad(cast(o_custkey % 10 AS string), 10, '0') AS iban, 'EUR' AS m
        '  ' || o_orderpriority || '   x ' AS oms1,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN '' ELSE o_orderstatus || '  y' END AS oms2,
        CASE WHEN o_orderkey % 4 = 0 THEN 'z' END AS oms3
-FROM {orders} WHERE o_orderkey % 2 = 0""",
+FROM {orders}""",
     "raw_b": """
 SELECT 'NL' || lpad(cast(o_custkey % 10 AS string), 10, '0') AS rekening,
        CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' ELSE replace(substr(cast(o_orderdate AS string), 1, 10), '-', '') END AS datum,
        replace(cast(cast(-o_totalprice AS decimal(18,2)) AS string), '.', ',') AS bedrag,
        o_orderpriority || '    ' || o_orderstatus AS oms
-FROM {orders} WHERE o_orderkey % 2 = 1""",
+FROM {orders}""",
     "labels_orders": """
 SELECT Transaction_ID,
        CASE WHEN Sequence_Number % 170 = 0 THEN '  ' WHEN Sequence_Number % 2 = 0 THEN 'Travel' ELSE 'Home' END AS Category,
        'Other' AS Subcategory, '2024-01-01 00:00:00' AS Date_Categorized, 'Manual' AS Source
-FROM {txn_orders} WHERE Sequence_Number % 17 = 0
+FROM {txn_orders} WHERE Description LIKE 'order 4-%'
 UNION ALL
 SELECT 'TXN_STALE' || cast(n_nationkey AS string), 'Travel', 'Other', '2024-01-01 00:00:00', 'Manual' FROM {nation}""",
     "rules_part": """

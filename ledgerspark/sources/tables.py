@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerspark.operators.normalize import with_year
 from ledgerspark.schema import LABEL_SCHEMA, TRANSACTION_SCHEMA
 
 APP_VERSION = "1.0"
@@ -56,8 +57,12 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
 
 
 def write_transactions(df: DataFrame, path: str) -> None:
-    """The default store: Parquet by year, so that period filters prune folders."""
-    df.withColumn("Year", F.year("Date")).write.partitionBy("Year").parquet(path)
+    """The default store: Parquet by year, so that period filters prune folders.
+
+    Rows are rebalanced by year before writing: every year gets files of even
+    size, a big year several, instead of one small file per task and year.
+    """
+    with_year(df).hint("rebalance", F.col("Year")).write.partitionBy("Year").parquet(path)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:

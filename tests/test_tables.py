@@ -134,6 +134,11 @@ def test_category_changes(spark):
     assert {(r.category, r.description) for r in grown.collect()} == {("A", "a"), ("B", "b"), ("C", "c"), ("D", "d")}
     renames = spark.createDataFrame([("A", "Z"), ("B", "C"), ("C", ""), ("D", "Z")], "category string, new_name string")
     assert ids(catalog.rename_rows(grown, renames, "category"), "category") == ["B", "C", "D", "Z"]
+    tree = spark.createDataFrame([("A", "x"), ("B", "y")], "category string, subcategory string")
+    top, below = catalog.rename_categories(table, tree, renames)
+    assert ids(top, "category") == ["B", "C", "Z"] and ids(below, "category") == ["B", "Z"]
+    top, below = catalog.delete_categories(table, tree, renames.filter("category = 'A'"))
+    assert ids(top, "category") == ["B", "C"] and ids(below, "category") == ["B"]
     edit = spark.createDataFrame([("A", None)], "category string, description string")
     edited = {r.category: r.description for r in catalog.update_rows(table, edit, ["category"]).collect()}
     assert edited == {"A": None, "B": "b", "C": "c"}
