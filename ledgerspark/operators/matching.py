@@ -30,8 +30,11 @@ from ledgerspark.operators.conditions import (
 )
 from ledgerspark.operators.rules import RuleSet
 
-# Up to this many leaves the compiled form is the faster one (see bench notes in README).
-COMPILED_LEAVES = 100
+# Up to so many leaves the compiled form is the faster one, measured with and without
+# Spark's code generation keeping its methods below what Java compiles (README).
+COMPILED_LEAVES = 60
+COMPILED_LEAVES_SPLIT = 200
+_JIT_LIMIT = 8000
 # Wider expansions are compiled instead.
 MAX_ALTERNATIVES = 256
 
@@ -55,7 +58,7 @@ def categorize(
     trees = [tree for _, tree in ordered]
     used = [leaf for tree in trees for leaf in tree_leaves(tree)]
     if path == "auto":
-        path = "compiled" if len(used) <= COMPILED_LEAVES else "lookup"
+        path = "compiled" if len(used) <= _compiled_limit(df) else "lookup"
     kept = [name for name in df.columns if name not in CATEGORY_COLUMNS]
     operands = Operands(df.select(*kept), used)
     ranked = _rank_compiled(operands, trees) if path == "compiled" else _rank_by_lookup(operands, trees)
@@ -76,6 +79,11 @@ def categorize(
     return ranked.select(*columns)
 
 
+def _compiled_limit(df: DataFrame) -> int:
+    method_limit = int(df.sparkSession.conf.get("spark.sql.codegen.hugeMethodLimit", "65535"))
+    return COMPILED_LEAVES_SPLIT if method_limit <= _JIT_LIMIT else COMPILED_LEAVES
+
+
 def _first_of(trees: list[tuple[int, object]], operands: Operands) -> Column:
     """Rank of the first tree that holds; null when none does."""
     if not trees:

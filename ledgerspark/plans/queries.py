@@ -286,7 +286,7 @@ _WIDE = """rules AS (SELECT i, i % 10 AS priority, i % 3 AS shape, 'brand#' || (
 
 
 @query(
-    "categorize_lineitem",
+    "categorize_join_path",
     """SELECT Date, Amount, Sequence_Number, coalesce('Category ' || (i % 17), '') AS Category,
        coalesce('Sub ' || (i % 5), '') AS Subcategory, coalesce('Rule: rule_' || i, '') AS Categorization_Source
 FROM keyed LEFT JOIN best USING (k)""",
@@ -294,7 +294,7 @@ FROM keyed LEFT JOIN best USING (k)""",
     also=_WIDE,
 )
 def _(v):
-    done = matching.categorize(v.txn_lineitem, wide_rules())
+    done = matching.categorize(v.txn_lineitem, wide_rules(), path="lookup")
     return done.select("Date", "Amount", "Sequence_Number", "Category", "Subcategory", "Categorization_Source")
 
 

@@ -136,6 +136,21 @@ def load_exports(
     )
 
 
+def load_table(
+    spark: SparkSession, path: str, layout: Layout, file_format: str = "parquet", **normalize_options
+) -> DataFrame:
+    """A bank's table that is stored in another format (say, exported spreadsheets as Parquet), with IDs."""
+    raw = spark.read.format(file_format).option("header", True).load(path)
+    values = [F.col(f"`{name}`").cast("string").alias(name) for name in raw.columns]
+    raw = raw.select(*values, _file_name().alias("Source_File"))
+    return with_transaction_id(normalize(raw, layout, **normalize_options))
+
+
+def _file_name():
+    """The metadata column is URI-encoded, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def _literal_path(path: str) -> str:
     """A file path from the metadata column, which is URI-encoded, as a path without wildcards."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
@@ -157,6 +172,4 @@ def _read_alike(spark, paths, header, encoding, multi_line) -> DataFrame:
     values = [
         F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`")).alias(name) for name in header
     ]
-    # The metadata column is URI-encoded, where a plus sign stands for itself.
-    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return raw.select(*values, _OVERFLOW, file_name.alias("Source_File"))
+    return raw.select(*values, _OVERFLOW, _file_name().alias("Source_File"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.rules import RuleSet
-from ledgerspark.schema import LABEL_SCHEMA, LAYOUT_A, TRANSACTION_COLUMNS
+from ledgerspark.schema import LABEL_SCHEMA, LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS
 from ledgerspark.sources import documents, exports, tables
 
 A_HEADER = ",".join(LAYOUT_A.columns)
@@ -69,6 +69,18 @@ def test_empty_folder_gives_an_empty_table(spark, tmp_path):
     assert load.transactions.count() == 0 and load.transactions.columns == TRANSACTION_COLUMNS
 
 
+def test_tables_in_other_formats(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("7", dt.datetime(2024, 1, 31), -12345678.5, "  a   b "), ("7", None, 3.0, None)],
+        "Rekeningnummer string, Transactiedatum timestamp_ntz, Transactiebedrag double, Omschrijving string",
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "b"))
+    found = exports.load_table(spark, str(tmp_path / "b"), LAYOUT_B)
+    assert found.columns == ["Transaction_ID", "Date", "Amount", "Description", "Account_Number", "Source_File"]
+    values = {(r.Date, r.Amount, r.Description) for r in found.collect()}
+    assert values == {(dt.datetime(2024, 1, 31), -12345678.5, "a b"), (None, 3.0, "")}
+
+
 RULES = {
     "categorization_rules": {
         "rules": [
