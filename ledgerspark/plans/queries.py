@@ -1051,7 +1051,7 @@ def _(v):
 @query(
     "scalar_collection",
     """SELECT id, CASE WHEN seq % 6 = 0 THEN 'Description' WHEN seq % 6 = 1 THEN 'Amount' END AS field,
-       CASE WHEN conditions IS NULL THEN NULL WHEN seq % 6 < 2 THEN 3 + seq % 6 WHEN seq % 6 < 4 THEN 2 ELSE 0 END AS keys,
+       cast(CASE WHEN conditions IS NULL THEN NULL WHEN seq % 6 < 2 THEN 3 + seq % 6 WHEN seq % 6 < 4 THEN 2 ELSE 0 END AS integer) AS keys,
        replace(name, ' ', '+') AS words FROM rules_part""",
     "rules_part",
 )
