@@ -35,6 +35,8 @@ from ledgerspark.operators.rules import RuleSet
 COMPILED_LEAVES = 60
 COMPILED_LEAVES_SPLIT = 200
 _JIT_LIMIT = 8000
+# Below this, evaluating the rules again in a filter costs less than preventing it.
+GUARDED_LEAVES = 30
 # Wider expansions are compiled instead.
 MAX_ALTERNATIVES = 256
 
@@ -67,6 +69,10 @@ def categorize(
         [{"c": rule.category, "s": rule.subcategory, "o": rule.source, "i": rule.id} for rule, _ in ordered]
     )
     table = F.from_json(F.lit(answers), "array<struct<c:string,s:string,o:string,i:string>>")
+    if len(used) > GUARDED_LEAVES:
+        # A filter on the result must not drag the whole rule expression down with it, to be
+        # evaluated twice. Predicates do not pass a generator, so the rank goes through one.
+        ranked = ranked.select(*kept, F.explode_outer(F.array("__rank")).alias("__rank"))
     ranked = ranked.withColumn("__answer", F.get(table, F.col("__rank")))
     columns = [
         *[F.col(name) for name in kept],

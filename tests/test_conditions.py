@@ -171,6 +171,15 @@ def test_matching_adds_no_shuffle(table):
         assert "hashpartitioning" not in plan and "NestedLoop" not in plan
 
 
+def test_filters_do_not_evaluate_many_rules_again(table):
+    words = [leaf("Description", "contains", f"marker{i:02d}") for i in range(40)]
+    rules = RuleSet.from_document({"categorization_rules": {"rules": [{"id": "a", "category": "C", "conditions": either(*words)}]}})
+    for path in ("compiled", "lookup"):
+        kept = matching.categorize(table, rules, path).filter("Category <> '' AND Amount > 0")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("marker07") == 1
+
+
 def test_broken_rules_are_skipped_and_reported(table):
     rules = RuleSet.from_document(
         {"categorization_rules": {"rules": [
