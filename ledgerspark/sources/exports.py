@@ -68,7 +68,7 @@ def probe_files(spark: SparkSession, folder: str, pattern: str = EXPORT_FILES) -
 
 
 def parse_header(line: str) -> list[str]:
-    return [name.strip() for name in next(csv.reader([line.lstrip("﻿").rstrip("\r")]), [])]
+    return [name.strip() for name in next(csv.reader([line.lstrip("\ufeff").rstrip("\r")]), [])]
 
 
 @dataclass
