@@ -12,7 +12,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_its_sql(spark, duck, name):
     assert compare(spark, duck, FOLDER, QUERIES[name], ORACLES[name]) == []
 
