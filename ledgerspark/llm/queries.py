@@ -88,7 +88,7 @@ WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
 ), words AS (
   SELECT r, doc_id, source, text, regexp_extract_all(text, '{_WORD}') AS w,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')) AS l
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l
   FROM docs
 ), windows AS (
   SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS k
