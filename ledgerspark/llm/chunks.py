@@ -10,6 +10,9 @@ import regex
 #: Entries of one cache at most; a fuller cache is begun anew.
 CACHE_ENTRIES = 350_000
 
+#: Stands for a chunk whose text has to be matched in full.
+_UNSAFE = object()
+
 
 class Chunks:
     """Values of whole texts, put together from values of their chunks.
@@ -30,19 +33,37 @@ class Chunks:
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
         parts = [t.split(" ") for t in texts]
-        first, rest = [p[0] for p in parts], [p[1:] for p in parts]
-        new = set(filterfalse(self.after.__contains__, chain.from_iterable(rest)))
+        first = [p.pop(0) for p in parts]
+        # Each chunk is looked up once; what isn't there yet is filled in by place.
+        known = [list(map(self.after.get, p)) for p in parts]
+        gaps = [[j for j, v in enumerate(k) if v is None] if None in k else [] for k in known]
+        new = {p[j] for p, gap in zip(parts, gaps) for j in gap}
         unsafe = set(filter(_odd, new))
-        self.after.update(zip(unsafe, repeat(None)))
-        odd = {i: self.find(t) for i, t in enumerate(texts) if rest[i] and (_odd(first[i]) or None in map(self.after.get, rest[i], repeat(0))) or not rest[i]}
-        heads = {i: self.find(f) for i, f in enumerate(first) if i not in odd}
-        bodies = {c: self.find(" " + c) for c in new - unsafe}
+        self.after.update(zip(unsafe, repeat(_UNSAFE)))
+        odd, heads = {}, {}
+        for i, f in enumerate(first):
+            if not parts[i] or _odd(f) or _UNSAFE in known[i] or unsafe and not unsafe.isdisjoint(parts[i][j] for j in gaps[i]):
+                odd[i] = self.find(texts[i])
+            else:
+                heads[i] = self.find(f)
+        bodies = {c: self._split(c) for c in new - unsafe}
         missing = list(set(filterfalse(self.tokens.__contains__, chain.from_iterable([*odd.values(), *heads.values(), *bodies.values()]))))
         if missing:
             self.tokens.update(zip(missing, self.encode(missing)))
         token, after = self.tokens.__getitem__, self.after
         after.update((c, self.join(list(map(token, found))) if len(found) > 1 else token(found[0])) for c, found in bodies.items())
-        return [list(map(token, odd[i])) if i in odd else [*map(token, heads[i]), *map(after.__getitem__, rest[i])] for i in range(len(texts))]
+        for p, k, gap in zip(parts, known, gaps):
+            for j in gap:
+                k[j] = after[p[j]]
+        return [list(map(token, odd[i])) if i in odd else [*map(token, heads[i]), *known[i]] for i in range(len(texts))]
+
+    def _split(self, chunk: str) -> list[str]:
+        """The pre-tokens of a space and ``chunk``. Letters alone, or with a full stop or comma, need no matching."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.find(" " + chunk)
 
 
 def _odd(chunk: str) -> bool:
