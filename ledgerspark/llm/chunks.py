@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import chain, filterfalse, repeat
+from operator import add
 
 import regex
 
-#: Entries of one cache at most; a fuller cache is begun anew.
-CACHE_ENTRIES = 350_000
+#: Entries of one cache at most, some 200 bytes each; a fuller cache is begun anew.
+CACHE_ENTRIES = 800_000
 
 #: Stands for a chunk whose text has to be matched in full.
 _UNSAFE = object()
@@ -19,11 +21,11 @@ class Chunks:
 
     A single space between other characters always begins a pre-token of the byte-level pattern, so texts
     are cut there and the value of a chunk is remembered as a whole; other texts are matched in full.
-    ``encode`` gives the values of new pre-tokens, all at once; ``join`` makes one value of several.
+    ``encode`` gives the values of new pre-tokens, all at once; ``+`` makes one value of two.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object]):
-        self.find, self.encode, self.join = regex.compile(pattern).findall, encode, join
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list]):
+        self.find, self.encode = regex.compile(pattern).findall, encode
         self.tokens: dict[str, object] = {}
         self.after: dict[str, object] = {}
 
@@ -46,25 +48,24 @@ class Chunks:
                 odd[i] = self.find(texts[i])
             else:
                 heads[i] = self.find(f)
-        bodies = {c: self._split(c) for c in new - unsafe}
-        missing = list(set(filterfalse(self.tokens.__contains__, chain.from_iterable([*odd.values(), *heads.values(), *bodies.values()]))))
+        # Letters alone, or with a full stop or comma, need no matching.
+        fresh = new - unsafe
+        words = [c for c in fresh if c.isalpha()]
+        marked = [c for c in fresh if c[-1] in ".," and c[:-1].isalpha()]
+        found = {c: self.find(" " + c) for c in fresh.difference(words, marked)}
+        begun, stems = [" " + c for c in words], [" " + c[:-1] for c in marked]
+        missing = list(set(filterfalse(self.tokens.__contains__, chain(begun, stems, ".,", chain.from_iterable([*odd.values(), *heads.values(), *found.values()])))))
         if missing:
             self.tokens.update(zip(missing, self.encode(missing)))
         token, after = self.tokens.__getitem__, self.after
-        after.update((c, self.join(list(map(token, found))) if len(found) > 1 else token(found[0])) for c, found in bodies.items())
+        after.update(zip(words, map(token, begun)))
+        after.update(zip(marked, map(add, map(token, stems), [token(c[-1]) for c in marked])))
+        after.update((c, reduce(add, map(token, tokens))) for c, tokens in found.items())
         for p, k, gap in zip(parts, known, gaps):
             for j in gap:
                 k[j] = after[p[j]]
         return [list(map(token, odd[i])) if i in odd else [*map(token, heads[i]), *known[i]] for i in range(len(texts))]
 
-    def _split(self, chunk: str) -> list[str]:
-        """The pre-tokens of a space and ``chunk``. Letters alone, or with a full stop or comma, need no matching."""
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[-1] in ".," and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.find(" " + chunk)
-
 
 def _odd(chunk: str) -> bool:
     """Whether white space stands beside the spaces around this chunk; these then don't bound pre-tokens."""

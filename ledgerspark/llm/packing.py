@@ -26,7 +26,7 @@ def _encoder(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
         data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
         return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
-    return vocabulary, Chunks(pattern, encode, b"".join)
+    return vocabulary, Chunks(pattern, encode)
 
 
 def text_ids(texts: list[str], path: str, pattern: str) -> list[bytes]:

@@ -157,7 +157,7 @@ def _codec(path: str, pattern: str) -> tuple[Ranks, Chunks]:
             found[word] = packed(table.ids())
         return [found[t.encode()] for t in tokens]
 
-    return ranks, Chunks(pattern, encode, b"".join)
+    return ranks, Chunks(pattern, encode)
 
 
 def packed(ids: list[int]) -> bytes:

@@ -104,8 +104,10 @@ class RankMerger:
             keep[at + 1] = False
             place = np.cumsum(keep) - 1
             symbols, owner, rank, result = symbols[keep], owner[keep], rank[keep], result[keep]
-            touched = place[at]
-            touched = np.unique(np.r_[touched, touched[touched > 0] - 1])
+            near = np.zeros(len(symbols), bool)
+            near[place[at]] = True
+            near[np.maximum(place[at] - 1, 0)] = True
+            touched = np.flatnonzero(near)
             rank[touched], result[touched] = self._ranks(symbols, owner, touched)
         ids = np.concatenate(ready_ids) if ready_ids else np.empty(0, np.int32)
         owners = np.concatenate(ready_owners) if ready_owners else np.empty(0, np.int64)
@@ -146,7 +148,7 @@ class Vocabulary:
 def _counter(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
     vocabulary = Vocabulary(path)
     encode = lambda tokens: vocabulary.merger.merge([t.encode() for t in tokens])[1].tolist()
-    return vocabulary, Chunks(pattern, encode, sum)
+    return vocabulary, Chunks(pattern, encode)
 
 
 def count_texts(texts: list[str], path: str, pattern: str) -> list[int]:
