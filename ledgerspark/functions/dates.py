@@ -18,9 +18,14 @@ ISO_FORMATS = (
 
 
 def parse_date(text: Column, formats: tuple[str, ...]) -> Column:
-    """The first format that fits wins; null when none does."""
-    trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """The first format that fits wins; null when none does.
+
+    Read as UTC and counted from 1970, so that no session's summer time moves it.
+    """
+    at_utc = F.concat(F.trim(text), F.lit(" Z"))
+    moments = F.coalesce(*[F.try_to_timestamp(at_utc, F.lit(f"{f} XXX")) for f in formats])
+    seconds = (F.unix_micros(moments).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def parse_iso(text: Column) -> Column:

@@ -59,7 +59,8 @@ def text_form(value: Column, data_type: T.DataType) -> Column:
     """What text operators and hashes see of a typed column. Null stays null."""
     if isinstance(data_type, T.StringType):
         return value
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+    fraction = isinstance(data_type, T.DecimalType) and data_type.scale > 0
+    if fraction or isinstance(data_type, (T.DoubleType, T.FloatType)):
         return float_text(value.cast("double"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return timestamp_text(value)

@@ -129,16 +129,9 @@ def yearly_pivot(marked: DataFrame) -> DataFrame:
 
 
 def yearly_progress(marked: DataFrame) -> DataFrame:
-    """The yearly pivot with the share categorised, one decimal, half to even.
-
-    Empty unless both statuses occur somewhere.
-    """
-    pivot = yearly_pivot(marked)
-    # One row per calendar year, so a window over all of them is small.
-    all_years = Window.partitionBy()
-    both = (F.sum("Categorized").over(all_years) > 0) & (F.sum("Uncategorized").over(all_years) > 0)
+    """The yearly pivot with the share categorised, one decimal, half to even."""
     share = round_half_even(percent(F.col("Categorized"), F.col("Total")), 1)
-    return pivot.withColumn("__both", both).filter("__both").drop("__both").withColumn("Categorized_Pct", share)
+    return yearly_pivot(marked).withColumn("Categorized_Pct", share)
 
 
 def overall_status(transactions: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from ledgerspark.operators.conditions import Options, java_accepts, java_pattern
 
 LARGE_ABOVE = 100
 SMALL_BELOW = 50
-SEARCH_MIN_LENGTH = 4
 PREVIEW_COLUMNS = ("Date", "Amount", "Description", "Counterparty_Name")
 # Shown columns and the headings they get.
 DISPLAY_COLUMNS = {
@@ -95,13 +94,11 @@ def is_from_rule(column: str = "Source") -> Column:
 def search_description(df: DataFrame, text: str, literal: bool = False) -> DataFrame:
     """Case-insensitive search; the text is a pattern unless ``literal``.
 
-    Texts of three characters or fewer, and bad patterns, find nothing.
+    Any length of text is searched; a bad pattern is an error.
     """
-    if len(text) < SEARCH_MIN_LENGTH:
-        return df.filter(F.lit(False))
     pattern = java_pattern(literal_pattern(text) if literal else text, ignore_case=True)
     if pattern is None or not java_accepts(df.sparkSession, pattern):
-        return df.filter(F.lit(False))
+        raise ValueError(f"not a valid pattern: {text}")
     return df.filter(F.col("Description").rlike(pattern))
 
 
@@ -144,9 +141,6 @@ def preview(df: DataFrame, conditions, limit: int = 20, options: Options = Optio
     return first.select(*[name for name in PREVIEW_COLUMNS if name in df.columns])
 
 
-def preview_total(df: DataFrame, conditions, cap: int | None = None, options: Options = Options()) -> DataFrame:
-    """Exact number of matches, or at most ``cap`` when one is given."""
-    matches = matching_rows(df, conditions, options).select(F.lit(1))
-    if cap is not None:
-        matches = matches.limit(cap)
-    return matches.agg(F.count("*").alias("total_matches"))
+def preview_total(df: DataFrame, conditions, options: Options = Options()) -> DataFrame:
+    """Exact number of matches."""
+    return matching_rows(df, conditions, options).agg(F.count("*").alias("total_matches"))

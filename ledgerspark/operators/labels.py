@@ -10,9 +10,12 @@ from ledgerspark.schema import LABEL_SCHEMA
 
 
 def latest_per_key(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One change per key, the last by ``order``. Pre-aggregated, so a hot key is no burden."""
+    """One change per key, the last by ``order``; ties go by the other columns, not by place.
+
+    Pre-aggregated, so a hot key is no burden.
+    """
     rest = [name for name in changes.columns if name not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(order)).alias("__row")
+    newest = F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("__row")
     return changes.groupBy(*keys).agg(newest).select(*[
         F.col(name) if name in keys else F.col(f"__row.{name}").alias(name) for name in changes.columns
     ])

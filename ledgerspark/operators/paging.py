@@ -76,9 +76,3 @@ def _beyond(df, keys, values, size, compare, order) -> DataFrame:
         alternatives.append(reduce(lambda a, b: a & b, [*same, compare(F.col(key), F.lit(value))]))
     beyond = reduce(lambda a, b: a | b, alternatives)
     return df.filter(beyond).orderBy(*[order(key) for key in keys]).limit(size)
-
-
-def navigation(total: int, current: int) -> dict[str, int]:
-    """Positions of first, previous, next and last, counted from 1 and kept inside the set."""
-    current = current if 1 <= current <= total else 1
-    return {"first": 1, "previous": max(1, current - 1), "next": min(total, current + 1), "last": total}

@@ -340,15 +340,6 @@ def _(v):
     return filters.preview_total(v.txn_orders, _PREVIEWED)
 
 
-@query(
-    "rule_preview_total_capped",
-    f"SELECT least(count(*), 100) AS total_matches FROM txn_orders WHERE {_PREVIEWED_SQL}",
-    "txn_orders",
-)
-def _(v):
-    return filters.preview_total(v.txn_orders, _PREVIEWED, cap=100)
-
-
 @query(
     "rule_text",
     """SELECT 'rule_' || p_partkey AS id, '1' AS position, 'AND' AS logic,
@@ -894,12 +885,11 @@ def _(v):
 
 @query(
     "names_refused",
-    "SELECT category, subcategory FROM tree_part WHERE starts_with(subcategory, 'small')",
+    "SELECT category, subcategory FROM tree_part",
     "tree_part",
 )
 def _(v):
     wanted = v.part.select(F.col("p_brand").alias("category"), F.col("p_name").alias("subcategory")).distinct()
-    wanted = wanted.filter(F.startswith("subcategory", F.lit("small")))
     fresh = wanted.withColumn("subcategory", F.concat(F.lit("new "), "subcategory"))
     return catalog.known_names(wanted.unionByName(fresh), v.tree_part, ["category", "subcategory"])
 

@@ -38,7 +38,6 @@ def probe_files(spark: SparkSession, folder: str, pattern: str = EXPORT_FILES) -
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", True)
         .text(folder)
         .select(
             "value",
@@ -99,8 +98,11 @@ def load_exports(
     by default); the result reads from there.
     """
     groups: dict[tuple, list[str]] = {}
-    rejected: list[tuple[str, str]] = []
-    for file in probe_files(spark, folder).collect():
+    probed = probe_files(spark, folder).collect()
+    with_lines = {_bare(file.path) for file in probed}
+    listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", EXPORT_FILES).text(folder).inputFiles()
+    rejected: list[tuple[str, str]] = [(path, "empty file") for path in listed if _bare(path) not in with_lines]
+    for file in probed:
         header = parse_header(file.header or "")
         layout = next((known for known in layouts if known.accepts(header)), None)
         if layout is None:
@@ -118,9 +120,11 @@ def load_exports(
                 "Source_File", F.to_json(F.struct(*[F.col(f"`{name}`") for name in header], _OVERFLOW)).alias("row")
             )
         )
-        tables.append(normalize(raw.filter(F.col(_OVERFLOW).isNull()), layouts[place], money_type, strip_thousands))
+        # Hashed before the union, where a column that a layout lacks would become one of nulls.
+        table = normalize(raw.filter(F.col(_OVERFLOW).isNull()), layouts[place], money_type, strip_thousands)
+        tables.append(with_transaction_id(table))
 
-    transactions = with_transaction_id(union_tables(tables)) if tables else empty_transactions(spark)
+    transactions = union_tables(tables) if tables else empty_transactions(spark)
     if unique_ids and tables:
         staging = staging or scratch_folder(spark)
         transactions.write.parquet(staging)
@@ -136,6 +140,11 @@ def load_exports(
     )
 
 
+def _bare(path: str) -> str:
+    """A file path without the slashes that listings put in differently."""
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
 def load_table(
     spark: SparkSession, path: str, layout: Layout, file_format: str = "parquet", **normalize_options
 ) -> DataFrame:
@@ -166,7 +175,6 @@ def _read_alike(spark, paths, header, encoding, multi_line) -> DataFrame:
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
         .csv([_literal_path(path) for path in paths])
     )
     values = [

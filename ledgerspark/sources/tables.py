@@ -41,7 +41,8 @@ def read_labels(spark: SparkSession, path: str, file_format: str = "parquet") ->
     """The label store; empty when there is none yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], LABEL_SCHEMA)
-    return spark.read.schema(LABEL_SCHEMA).option("header", True).format(file_format).load(path)
+    options = CSV_OPTIONS if file_format == "csv" else {}
+    return spark.read.schema(LABEL_SCHEMA).options(**options).format(file_format).load(path)
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:

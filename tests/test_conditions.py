@@ -213,9 +213,6 @@ def test_leaf_and_tree_building():
         conditions.build_leaf("Description", "contains", "")
     assert conditions.build_tree([one]) == one
     assert conditions.build_tree([one, one]) == {"operator": "AND", "rules": [one, one]}
-    assert conditions.describe(conditions.build_tree([one, leaf("A", "equals", "x", True)], "OR")) == (
-        "(Description in '[a, b]' (case insensitive) OR A equals 'x')"
-    )
 
 
 def test_rule_changes():
@@ -237,4 +234,3 @@ def test_preview(table):
     assert filters.preview(table, tree, 2).columns == ["Date", "Amount", "Description", "Counterparty_Name"]
     assert filters.preview(table, tree, 2).count() == 2
     assert filters.preview_total(table, tree).first()[0] == 3
-    assert filters.preview_total(table, tree, cap=2).first()[0] == 2

@@ -99,6 +99,12 @@ def test_many_repeats_are_joined_without_a_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_amounts_as_decimals_have_the_same_ids(spark):
+    rows = spark.sql("SELECT '-1,50' AS a").select(F.regexp_replace("a", ",", ".").cast("double").alias("Amount"))
+    exact = rows.select(F.col("Amount").cast("decimal(18,2)"))
+    assert identity.with_transaction_id(rows).first().Transaction_ID == identity.with_transaction_id(exact).first().Transaction_ID
+
+
 def test_adding_a_file_keeps_existing_ids(spark):
     header = list(LAYOUT_A.columns)
 

@@ -54,7 +54,7 @@ def test_load_both_layouts(spark, folder):
     assert rows[0].Date == dt.datetime(2024, 1, 31) and rows[0].Description == "rent march" and rows[0].Account_Number == "123"
     assert rows[0].Currency is None
     assert len({r.Transaction_ID for r in rows.values()}) == 5
-    assert [r.path.rsplit("/", 1)[-1] for r in load.rejected_files.collect()] == ["other.csv"]
+    assert [r.path.rsplit("/", 1)[-1] for r in load.rejected_files.collect()] == ["empty.csv", "other.csv"]
     assert [r.Source_File for r in load.rejected_rows.collect()] == ["two.CSV"]
 
 
@@ -64,6 +64,19 @@ def test_thousands_dots_can_be_stripped(spark, folder):
     assert str(amount) == "1234.56"
 
 
+def test_ids_of_one_layout_do_not_depend_on_files_of_another(spark, tmp_path):
+    (tmp_path / "both").mkdir()
+    (tmp_path / "alone").mkdir()
+    b = "Rekeningnummer,Transactiedatum,Transactiebedrag,Omschrijving\n7,20240131,\"-1,50\",tea\n"
+    a = ",".join(LAYOUT_A.columns) + "\n" + "," * (len(LAYOUT_A.columns) - 1) + "\n"
+    for place, name, text in (("alone", "b", b), ("both", "b", b), ("both", "a", a), ("both", "none", "")):
+        (tmp_path / place / f"{name}.csv").write_text(text)
+    alone, both = (exports.load_exports(spark, str(tmp_path / place)) for place in ("alone", "both"))
+    ids = {r.Transaction_ID for r in alone.transactions.collect()}
+    assert len(ids) == 1 and ids < {r.Transaction_ID for r in both.transactions.collect()}
+    assert [(r.path.rsplit("/", 1)[-1], r.reason) for r in both.rejected_files.collect()] == [("none.csv", "empty file")]
+
+
 def test_empty_folder_gives_an_empty_table(spark, tmp_path):
     load = exports.load_exports(spark, str(tmp_path))
     assert load.transactions.count() == 0 and load.transactions.columns == TRANSACTION_COLUMNS
