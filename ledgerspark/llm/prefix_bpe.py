@@ -19,7 +19,7 @@ from ledgerspark.llm.common import arrow_map, as_texts, slices
 _NEVER = 1 << 40
 
 #: Remembered pairs of tokens at most.
-PAIR_ENTRIES = 500_000
+PAIR_ENTRIES = 300_000
 
 
 class Ranks:
