@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import arrow_map, as_texts, mixed, prepare, slices, staged, to_arrow, word_hashes
+from ledgerspark.llm.common import arrow_map, as_texts, free_name, mixed, prepare, slices, staged, to_arrow, word_hashes
 
 
 @dataclass(frozen=True)
@@ -299,10 +299,11 @@ def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, with its columns."""
     found = staged(classes(docs, text, key, settings))
-    gone = found.filter(~F.col("kept")).select("_key", "_node").distinct()
-    marked = docs.withColumn("_node", text_key(text))
-    out = marked.join(gone, (marked["_node"] == gone["_node"]) & marked[f"`{key}`"].eqNullSafe(gone["_key"]), "left_anti")
+    node = free_name(docs, "_node")
+    gone = found.filter(~F.col("kept")).select(F.col("_key").alias("_gone_key"), F.col("_node").alias("_gone_node")).distinct()
+    marked = docs.withColumn(node, text_key(text))
+    out = marked.join(gone, (marked[node] == gone["_gone_node"]) & marked[f"`{key}`"].eqNullSafe(gone["_gone_key"]), "left_anti")
     kept = found.filter("kept")
     if kept.groupBy("_key", "_node").count().filter("count > 1").take(1):
-        out = out.dropDuplicates([key, "_node"])
+        out = out.dropDuplicates([key, node])
     return out.select(*[f"`{c}`" for c in docs.columns])

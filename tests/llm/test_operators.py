@@ -183,6 +183,8 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     kept = near_duplicates.deduplicated(odd).collect()
     assert len(kept) == len({r.text or "" for r in odd.collect()})
     assert near_duplicates.deduplicated(odd.limit(0)).count() == 0
+    named = near_duplicates.deduplicated(odd.selectExpr("*", "'own' AS _Node")).collect()
+    assert len(named) == len(kept) and {r["_Node"] for r in named} == {"own"}
 
 
 def test_weighted_samples_agree_as_often_as_texts_do():
