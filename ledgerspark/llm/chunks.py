@@ -10,7 +10,7 @@ from operator import add
 import regex
 
 #: Entries of one cache at most, some 200 bytes each; a fuller cache is begun anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 #: Stands for a chunk whose text has to be matched in full.
 _UNSAFE = object()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -88,13 +89,35 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+_clearing: dict[str, list[Callable]] = {}
+_owner = [""]
+
+
+def process_cache(function):
+    """``lru_cache`` for what a worker process keeps from task to task."""
+    kept = lru_cache(maxsize=4)(function)
+    _clearing.setdefault(function.__module__, []).append(kept.cache_clear)
+    return kept
+
+
+def claim(module: str) -> None:
+    """Drop what this process keeps for other modules: stages share workers, whose memory is counted together."""
+    if _owner[0] != module:
+        _owner[0] = module
+        for name, clearing in _clearing.items():
+            for clear in clearing if name != module else ():
+                clear()
+
+
 def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from one record batch to a list of columns."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     kinds = to_arrow(schema)
     prepare(df.sparkSession)
+    module = function.__module__
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(module)
         for batch in found:
             if batch.num_rows:
                 columns = function(batch)

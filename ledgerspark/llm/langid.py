@@ -20,6 +20,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Words whose sums are remembered in a task at most.
 CACHE_WORDS = 200_000
 
+#: Characters of new words that are looked up at once; a longer word is counted by bucket.
+STEP_WORDS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -84,15 +87,20 @@ class Model:
                 self._rows, self._sums = {}, np.empty((0, len(self.languages) + 1))
             new = list(set(filterfalse(self._rows.__contains__, chain.from_iterable(words))))
             if new:
-                bucket, counts = subwords(new, self.settings)
-                sums = np.add.reduceat(self.table[bucket], np.cumsum(counts) - counts)
                 self._rows.update(zip(new, range(len(self._rows), len(self._rows) + len(new))))
-                self._sums = np.concatenate([self._sums, np.column_stack([sums, counts])])
+                self._sums = np.concatenate([self._sums, *[self._summed(new[a:b]) for a, b in slices(new, STEP_WORDS)]])
             for i, own in enumerate(words, start):
                 total = self._sums[list(map(self._rows.__getitem__, own))].sum(axis=0) if own else np.zeros(len(self.languages) + 1)
                 out[i] = total[:-1] / max(total[-1], 1) + self.bias
         return softmax(out / self.temperature)
 
+    def _summed(self, words: list[str]) -> np.ndarray:
+        """Per word the sum of its subwords' rows, and their number."""
+        bucket, counts = subwords(words, self.settings)
+        if len(words) == 1:
+            return np.r_[np.bincount(bucket, minlength=self.settings.buckets) @ self.table, counts][None]
+        return np.column_stack([np.add.reduceat(self.table[bucket], np.cumsum(counts) - counts), counts])
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and whether the text is rejected; ``und`` with score 0 for texts without a letter."""
         scores = self.scores(texts) if self.languages else np.zeros((len(texts), 1))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.llm.chunks import Chunks
-from ledgerspark.llm.common import arrow_map, as_texts, numbered, slices
+from ledgerspark.llm.common import arrow_map, as_texts, numbered, process_cache, slices
 from ledgerspark.llm.rank_merge import Vocabulary
 
 
-@lru_cache(maxsize=4)
+@process_cache
 def _encoder(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
     vocabulary = Vocabulary(path)
 

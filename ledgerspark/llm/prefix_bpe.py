@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 from itertools import repeat
 from os.path import commonprefix
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerspark.llm.chunks import Chunks
-from ledgerspark.llm.common import arrow_map, as_texts, slices
+from ledgerspark.llm.common import arrow_map, as_texts, process_cache, slices
 
 _NEVER = 1 << 40
 
@@ -146,7 +145,7 @@ class Prefixes:
         return out[::-1]
 
 
-@lru_cache(maxsize=4)
+@process_cache
 def _codec(path: str, pattern: str) -> tuple[Ranks, Chunks]:
     ranks = Ranks.read(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerspark.llm.chunks import Chunks
-from ledgerspark.llm.common import arrow_map, as_texts, free_name, slices
+from ledgerspark.llm.common import arrow_map, as_texts, free_name, process_cache, slices
 
 _NONE = np.iinfo(np.int32).max
 
@@ -144,7 +143,7 @@ class Vocabulary:
         return cut[::2], [self.added[t] for t in cut[1::2]]
 
 
-@lru_cache(maxsize=4)
+@process_cache
 def _counter(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
     vocabulary = Vocabulary(path)
     encode = lambda tokens: vocabulary.merger.merge([t.encode() for t in tokens])[1].tolist()

@@ -131,6 +131,15 @@ def test_language_of_held_out_texts():
     assert langid.fit([], []).predict(["text"])[0] == ["und"]
 
 
+def test_a_long_word_counts_like_short_ones(monkeypatch):
+    texts = ["der und ung", "the of and"] * 40
+    model = langid.fit(texts, ["de", "en"] * 40)
+    given = [" ".join(f"the{i}" for i in range(50)), "ungund" * 300]
+    whole = model.scores(given)
+    monkeypatch.setattr(langid, "STEP_WORDS", 20)
+    assert np.allclose(langid.fit(texts, ["de", "en"] * 40).scores(given), whole)
+
+
 def test_languages_on_odd_rows(spark, odd):
     model = langid.trained(odd)
     rows = langid.identify(odd, model).collect()
