@@ -61,6 +61,22 @@ def progress(transactions: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def overlay_progress(overlaid: DataFrame, manual: DataFrame) -> DataFrame:
+    """The figures of ``progress`` from ``labels.overlay``: no second join, the manual labels are only counted."""
+    figures = overlaid.agg(
+        F.count("*").alias("total_transactions"),
+        F.count_if(F.col("Labelled_By") == "rule").alias("by_rule"),
+        F.count_if(F.col("Status") == "Categorized").alias("categorized_present"),
+    ).withColumn("categorized", F.col("by_rule") + manual.agg(F.count("*").alias("n")).scalar())
+    return figures.select(
+        "total_transactions",
+        "categorized",
+        (F.col("total_transactions") - F.col("categorized")).alias("uncategorized"),
+        "categorized_present",
+        F.coalesce(percent(F.col("categorized"), F.col("total_transactions")), F.lit(0.0)).alias("progress_pct"),
+    )
+
+
 def _share_of_total(counted: DataFrame, count: str) -> Column:
     return percent(F.col(count), counted.agg(F.sum(count).alias("total")).scalar())
 

@@ -81,6 +81,32 @@ def effective_labels(categorized: DataFrame, manual: DataFrame, as_of: str) -> D
     return manual.select(*LABEL_SCHEMA.fieldNames()).unionByName(from_rules)
 
 
+def overlay(categorized: DataFrame, manual: DataFrame, key: str = "Transaction_ID") -> DataFrame:
+    """Every transaction with its effective label, after one left join to the manual labels.
+
+    The latest manual label of a key counts, also a blank one; else the rule's. Adds Source, Labelled_By (manual, rule or
+    null) and Status, and Category and Subcategory are the effective ones, null without a label. Only the
+    manual labels are reduced by key; where they are few they are broadcast and no transaction moves.
+    """
+    names = ["Category", "Subcategory", "Date_Categorized", "Source"]
+    newest = latest_per_key(manual.select(key, *names), [key], "Date_Categorized")
+    joined = categorized.join(newest.select(key, F.struct(*names).alias("__manual")), key, "left")
+    by_hand, by_rule = F.col("__manual").isNotNull(), ~is_blank(F.col("Category"))
+
+    def effective(name: str, ruled: str) -> Column:
+        return F.when(by_hand, F.col(f"__manual.{name}")).when(by_rule, F.col(ruled)).alias(name)
+
+    rest = [name for name in categorized.columns if name not in ("Category", "Subcategory", "Categorization_Source")]
+    chosen = joined.select(
+        *rest,
+        effective("Category", "Category"),
+        effective("Subcategory", "Subcategory"),
+        effective("Source", "Categorization_Source"),
+        F.when(by_hand, "manual").when(by_rule, "rule").alias("Labelled_By"),
+    )
+    return chosen.withColumn("Status", F.when(~is_blank(F.col("Category")), "Categorized").otherwise("Uncategorized"))
+
+
 def labels_of(labels: DataFrame, transactions: DataFrame) -> DataFrame:
     """The labels of the given transactions."""
     return labels.join(transactions.select("Transaction_ID"), "Transaction_ID", "left_semi")

@@ -39,6 +39,10 @@ _JIT_LIMIT = 8000
 GUARDED_LEAVES = 30
 # Wider expansions are compiled instead.
 MAX_ALTERNATIVES = 256
+# Leaves of one CASE at most; more are spread over several projections.
+CHUNK_LEAVES = 200
+# The values of one field's equality leaves, with what they lead to, are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 
 CATEGORY_COLUMNS = ("Category", "Subcategory", "Categorization_Source")
 
@@ -98,7 +102,30 @@ def _first_of(trees: list[tuple[int, object]], operands: Operands) -> Column:
 
 
 def _rank_compiled(operands: Operands, trees: list) -> DataFrame:
-    return operands.df.withColumn("__rank", _first_of(list(enumerate(trees)), operands))
+    return _with_first(operands.df, list(enumerate(trees)), operands, "__rank")
+
+
+def _with_first(df: DataFrame, trees: list[tuple[int, object]], operands: Operands, name: str) -> DataFrame:
+    """Add the rank of the first tree that holds, in projections of bounded size.
+
+    One CASE over all trees outgrows what Java compiles. Between the projections the rank passes a generator,
+    or Spark would merge them again; only rows without a rank try the next one.
+    """
+    chunks: list[list] = [[]]
+    size = 0
+    for rank, tree in trees:
+        more = len(tree_leaves(tree))
+        if chunks[-1] and size + more > CHUNK_LEAVES:
+            chunks.append([])
+            size = 0
+        chunks[-1].append((rank, tree))
+        size += more
+    kept = [F.col(f"`{column}`") for column in df.columns]
+    df = df.withColumn(name, _first_of(chunks[0], operands))
+    for chunk in chunks[1:]:
+        df = df.select(*kept, F.explode_outer(F.array(name)).alias(name))
+        df = df.withColumn(name, F.coalesce(F.col(name), _first_of(chunk, operands)))
+    return df
 
 
 # Every alternative of a rule hangs on one leaf, its anchor. Rarely met kinds come first.
@@ -159,14 +186,15 @@ def _rank_by_lookup(operands: Operands, trees: list) -> DataFrame:
             scans[operands.name(leaf), leaf.kind][leaf.value] = reached
 
     for index, (name, members) in enumerate(equalities.items()):
-        # One row per text and at most one per equality value of the rule set: the join
-        # keeps the row count, and the broadcast side is bounded by the rule document.
+        # At most one row per equality value of the rule set, so the join keeps the row count.
         key, reached = f"__key_{index}", f"__reached_{index}"
         entries = [(member, json.dumps(_best_first(lead))) for member, lead in members.items()]
         lookup = df.sparkSession.createDataFrame(entries, f"{key} string, leads string").select(
             key, F.from_json("leads", _LEADS).alias(reached)
         )
-        df = df.join(F.broadcast(lookup), F.col(name) == F.col(key), "left").drop(key)
+        if sum(len(member) + len(lead) for member, lead in entries) <= BROADCAST_BYTES:
+            lookup = F.broadcast(lookup)
+        df = df.join(lookup, F.col(name) == F.col(key), "left").drop(key)
         found.append(F.coalesce(F.col(reached), F.expr(f"cast(array() AS {_LEADS})")))
 
     for (name, kind), values in scans.items():
@@ -177,7 +205,10 @@ def _rank_by_lookup(operands: Operands, trees: list) -> DataFrame:
         met = F.filter(literal, _test(kind, F.col(name)))
         found.append(F.coalesce(F.flatten(F.transform(met, lambda entry: entry["leads"])), F.expr(f"cast(array() AS {_LEADS})")))
 
-    best = _first_of(compiled, operands)
+    best = F.lit(None).cast("int")
+    if compiled:
+        df = _with_first(df, compiled, operands, "__first")
+        best = F.col("__first")
     if found:
         df = df.withColumn("__leads", F.concat(*found))
         df = df.withColumn("__texts", F.array(*[F.col(name) for name in texts]).cast("array<string>"))

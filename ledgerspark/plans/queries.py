@@ -71,7 +71,7 @@ def demo_effective(v: Views) -> DataFrame:
 
 
 def demo_marked(v: Views) -> DataFrame:
-    return analytics.with_status(v.txn_orders, demo_effective(v))
+    return labels.overlay(demo_categorized(v), v.labels_orders)
 
 
 # --- Normalisation -----------------------------------------------------------
@@ -418,7 +418,7 @@ _period_query("filter_last_year", "Date >= TIMESTAMP '1998-01-01' AND Date < TIM
     "txn_orders", "labels_orders", also=EFFECTIVE,
 )
 def _(v):
-    return filters.by_label(v.txn_orders, demo_effective(v), "uncategorized").select("Transaction_ID", "Amount")
+    return demo_marked(v).filter(F.col("Labelled_By").isNull()).select("Transaction_ID", "Amount")
 
 
 @query(
@@ -427,7 +427,7 @@ def _(v):
     "txn_orders", "labels_orders", also=EFFECTIVE,
 )
 def _(v):
-    return filters.by_label(v.txn_orders, demo_effective(v), "categorized").select("Transaction_ID", "Amount")
+    return demo_marked(v).filter(F.col("Labelled_By").isNotNull()).select("Transaction_ID", "Amount")
 
 
 @query(
@@ -438,8 +438,7 @@ WHERE regexp_matches(t.Description, '(?i)[13]-.*hold')""",
     "txn_orders", "labels_orders", also=EFFECTIVE,
 )
 def _(v):
-    found = filters.with_labels(filters.search_description(v.txn_orders, "[13]-.*hold"), demo_effective(v))
-    return found.select("Transaction_ID", "Description", "Category", "Subcategory", "Source")
+    return filters.search_description(demo_marked(v), "[13]-.*hold").select("Transaction_ID", "Description", "Category", "Subcategory", "Source")
 
 
 @query(
@@ -567,7 +566,7 @@ FROM (SELECT count(*) AS n FROM txn_orders) t, (SELECT count(*) AS n FROM effect
     "txn_orders", "labels_orders", also=MARKED,
 )
 def _(v):
-    return analytics.progress(v.txn_orders, demo_effective(v))
+    return analytics.overlay_progress(demo_marked(v), v.labels_orders)
 
 
 @query(
