@@ -107,6 +107,7 @@ def claim(module: str) -> None:
         for name, clearing in _clearing.items():
             for clear in clearing if name != module else ():
                 clear()
+        pa.default_memory_pool().release_unused()
 
 
 def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:

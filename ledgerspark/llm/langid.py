@@ -18,7 +18,7 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 #: Words whose sums are remembered in a task at most.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 #: Characters of new words that are looked up at once; a longer word is counted by bucket.
 STEP_WORDS = 1 << 16

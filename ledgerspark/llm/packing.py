@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.llm.chunks import Chunks
-from ledgerspark.llm.common import arrow_map, as_texts, numbered, process_cache, slices
+from ledgerspark.llm.common import arrow_map, as_texts, numbered, process_cache, slices, staged
 from ledgerspark.llm.rank_merge import Vocabulary
 
 
@@ -152,4 +152,5 @@ def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their sequences; empty tables give an empty result."""
-    return packed(pieces(docs, path, pattern, capacity, text=text, key=key, with_ids=with_ids), capacity)
+    # Staged first: numbering in the same stage would keep a second Python worker for each task.
+    return packed(staged(pieces(docs, path, pattern, capacity, text=text, key=key, with_ids=with_ids)), capacity)
