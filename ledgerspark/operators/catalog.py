@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,11 @@ from ledgerspark.functions import dates
 from ledgerspark.functions.numbers import parse_float, percent
 from ledgerspark.functions.text import shorten
 from ledgerspark.operators.conditions import ALL_OPERATORS
-from ledgerspark.operators.labels import merge_by_key
+from ledgerspark.operators.labels import latest_per_key, merge_by_key
+from ledgerspark.operators.paging import numbered
 from ledgerspark.operators.rules import DEFAULT_PRIORITY
 from ledgerspark.schema import RULE_FIELDS
+from ledgerspark.session import ensure_checkpoint_dir
 
 # The five priority bands, lower end and label.
 PRIORITY_BANDS = [
@@ -171,14 +175,13 @@ def missing_parts(rules: DataFrame) -> DataFrame:
 
 
 
+def _opened(rules: DataFrame) -> DataFrame:
+    """Every node and leaf of the rules' trees: id, logic, path, node, is_leaf (null for what is no object).
 
-def condition_leaves(rules: DataFrame) -> DataFrame:
-    """The leaves of every rule's tree, whatever its depth.
-
-    ``position`` is the leaf's place (``2.1`` is the first leaf under the second
-    child), ``logic`` the operator that joins it to its siblings. The tree is
-    opened level by level until no nodes are left; the driver only learns that.
+    Level by level until none is left. Each level is checkpointed, so a deep tree is read once per level only;
+    the driver learns whether there is one more.
     """
+    ensure_checkpoint_dir(rules.sparkSession)
     has_tree = ~F.trim(F.coalesce("conditions", F.lit(""))).isin("", "{}", "null")
     level = rules.filter(has_tree).select(
         "id",
@@ -187,23 +190,42 @@ def condition_leaves(rules: DataFrame) -> DataFrame:
         F.try_parse_json("conditions").alias("node"),
     )
     found: list[DataFrame] = []
-    while True:
-        level = level.withColumn("is_leaf", F.array_contains(F.json_object_keys(F.to_json("node")), "field"))
-        found.append(level.filter(F.col("is_leaf")))
+    while not found or not level.isEmpty():
+        keys = F.json_object_keys(F.to_json("node"))
+        level = level.withColumn("is_leaf", F.array_contains(keys, "field")).checkpoint()
+        found.append(level)
         nodes = level.filter(F.coalesce(~F.col("is_leaf"), F.lit(False)))
         level = nodes.select(
             "id",
-            F.coalesce(F.try_variant_get("node", "$.operator", "string"), F.lit("AND")).alias("logic"),
+            _node_operator().alias("logic"),
             "path",
             F.posexplode(F.try_variant_get("node", "$.rules", "array<variant>")).alias("place", "child"),
         ).select("id", "logic", F.array_append("path", F.col("place") + 1).alias("path"), F.col("child").alias("node"))
-        if level.isEmpty():
-            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _node_operator() -> Column:
+    return F.coalesce(F.try_variant_get("node", "$.operator", "string"), F.lit("AND"))
+
+
+def _position() -> Column:
+    numbers = F.array_join(F.transform("path", lambda p: p.cast("string")), ".")
+    return F.when(F.size("path") == 0, "1").otherwise(numbers).alias("position")
+
+
+def condition_leaves(rules: DataFrame) -> DataFrame:
+    """The leaves of every rule's tree, whatever its depth.
+
+    ``position`` is the leaf's place (``2.1`` is the first leaf under the second
+    child), ``logic`` the operator that joins it to its siblings.
+    """
+    return _leaves(_opened(rules))
 
-    leaf = reduce(DataFrame.unionByName, found)
-    return leaf.select(
+
+def _leaves(opened: DataFrame) -> DataFrame:
+    return opened.filter("is_leaf").select(
         "id",
-        F.when(F.size("path") == 0, "1").otherwise(F.array_join(F.transform("path", lambda p: p.cast("string")), ".")).alias("position"),
+        _position(),
         F.coalesce("logic", F.lit("AND")).alias("logic"),
         F.coalesce(F.try_variant_get("node", "$.field", "string"), F.lit("")).alias("field"),
         F.coalesce(F.try_variant_get("node", "$.operator", "string"), F.lit("")).alias("operator"),
@@ -228,18 +250,53 @@ def condition_texts(leaves: DataFrame) -> DataFrame:
     return leaves.select("id", "position", "logic", text.alias("condition_text"))
 
 
-def condition_problems(leaves: DataFrame, fields: list[str] = RULE_FIELDS) -> DataFrame:
-    """Leaves that can never match, and why."""
+def _compiles() -> Callable[[str], Column]:
+    """Whether a text is a pattern of the dialect that rules are written in, which only Python tells."""
+
+    @F.pandas_udf("boolean")
+    def compiles(patterns: pd.Series) -> pd.Series:
+        import re
+
+        def valid(pattern: str) -> bool:
+            try:
+                re.compile(pattern)
+            except (re.error, RecursionError, OverflowError):
+                return False
+            return True
+
+        return patterns.map(valid)
+
+    return compiles
+
+
+def condition_problems(rules: DataFrame, fields: list[str] = RULE_FIELDS) -> DataFrame:
+    """What in the rules' conditions can never match, and why: broken JSON, bad nodes, leaves, patterns and numbers."""
+    opened = _opened(rules)
+    leaves = _leaves(opened)
+    regex = leaves.filter(F.col("operator") == "regex")
+    leaves = leaves.withColumn("bad", F.lit(False)).filter(F.col("operator") != "regex").unionByName(
+        regex.withColumn("bad", ~_compiles()("value"))
+    )
     compares = F.col("operator").isin("greater_than", "less_than")
     bounds = F.col("operator") == "between"
     problem = (
         F.when(~F.col("field").isin(*fields), F.concat(F.lit("unknown field "), "field"))
         .when(~F.col("operator").isin(*ALL_OPERATORS), F.concat(F.lit("unknown operator "), "operator"))
+        .when(F.col("bad"), F.concat(F.lit("bad pattern "), "value"))
         .when(bounds & (F.coalesce(F.size("values"), F.lit(0)) != 2), F.lit("between needs two bounds"))
         .when(bounds & F.exists("values", lambda v: parse_float(v).isNull()), F.lit("not a number"))
         .when(compares & parse_float(F.col("value")).isNull(), F.concat(F.lit("not a number "), "value"))
     )
-    return leaves.select("id", "position", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    children = F.try_variant_get("node", "$.rules", "array<variant>")
+    broken = (
+        F.when(F.col("node").isNull(), F.lit("conditions are not JSON"))
+        .when(F.col("is_leaf").isNull(), F.lit("not an object"))
+        .when(~_node_operator().isin("AND", "OR"), F.concat(F.lit("unknown node operator "), _node_operator()))
+        .when(F.coalesce(F.size(children), F.lit(0)) <= 0, F.lit("a node without rules"))
+    )
+    nodes = opened.filter(~F.coalesce("is_leaf", F.lit(False))).select("id", _position(), broken.alias("problem"))
+    found = leaves.select("id", "position", problem.alias("problem")).unionByName(nodes)
+    return found.filter(F.col("problem").isNotNull())
 
 
 def orphan_rules(rules: DataFrame, tree: DataFrame) -> DataFrame:
@@ -370,9 +427,13 @@ def subcategories_of(tree: DataFrame, category: str) -> DataFrame:
 def upsert_rules(rules: DataFrame, changes: DataFrame, now: str, user: str = "user") -> DataFrame:
     """Insert rules, or update those whose id is known.
 
-    An update keeps the creation stamps and document place and sets the
-    modification stamps; an insertion is stamped as created now.
+    An update keeps the creation stamps and document place and sets the modification stamps. An insertion is
+    stamped as created now and goes behind the last rule; several go by their ``seq``, if they have one, and
+    by id. Of two changes to one id the one with the larger ``seq`` counts, then the larger row.
     """
+    kind = rules.schema["seq"].dataType
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(None).cast(kind))
     known = rules.select(
         "id",
         F.col("seq").alias("__seq"),
@@ -380,16 +441,30 @@ def upsert_rules(rules: DataFrame, changes: DataFrame, now: str, user: str = "us
         F.col("created_by").alias("__created_by"),
         F.lit(True).alias("__known"),
     )
-    updated = F.coalesce(F.col("__known"), F.lit(False))
-    stamps = {
-        "seq": F.coalesce(F.col("__seq"), F.col("seq")),
+    incoming = latest_per_key(changes, ["id"], "seq").drop("created_at", "created_by", "last_modified_at", "last_modified_by")
+    incoming = incoming.join(known, "id", "left")
+    fresh = numbered(incoming.filter(F.col("__known").isNull()), [F.col("seq").asc_nulls_last(), F.col("id").asc()], "__place")
+    last = rules.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last")).scalar()
+
+    def stamped(rows: DataFrame, stamps: dict[str, Column]) -> DataFrame:
+        return rows.select(*[
+            (stamps[name] if name in stamps else F.col(name) if name in changes.columns else F.lit(None))
+            .cast(rules.schema[name].dataType).alias(name)
+            for name in rules.columns
+        ])
+
+    updates = stamped(incoming.filter(F.col("__known")), {
+        "seq": F.col("__seq"),
         "created_at": F.coalesce(F.col("__created_at"), F.lit(now)),
         "created_by": F.coalesce(F.col("__created_by"), F.lit(user)),
-        "last_modified_at": F.when(updated, F.lit(now)),
-        "last_modified_by": F.when(updated, F.lit(user)),
-    }
-    incoming = changes.drop("created_at", "created_by", "last_modified_at", "last_modified_by").join(known, "id", "left")
-    stamped = incoming.select(*[
-        stamps.get(name, F.col(name) if name in changes.columns else F.lit(None)).alias(name) for name in rules.columns
-    ])
-    return merge_by_key(rules, ["id"], stamped)
+        "last_modified_at": F.lit(now),
+        "last_modified_by": F.lit(user),
+    })
+    insertions = stamped(fresh, {
+        "seq": last + F.col("__place"),
+        "created_at": F.lit(now),
+        "created_by": F.lit(user),
+        "last_modified_at": F.lit(None),
+        "last_modified_by": F.lit(None),
+    })
+    return merge_by_key(rules, ["id"], updates.unionByName(insertions))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import dates, numbers, text
 from ledgerspark.operators import analytics, catalog, conditions, filters, identity, labels, matching, normalize, paging
+from ledgerspark.operators.rules import Rule, RuleSet
 from ledgerspark.plans.demo import DEMO_RULES, both, either, leaf, wide_rules
 from ledgerspark.plans.views import Views, with_views
 from ledgerspark.schema import LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS
 from ledgerspark.session import scratch_folder
-from ledgerspark.sources import exports, tables
+from ledgerspark.sources import documents, exports, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +210,7 @@ _condition_query("leaf_ends_with", leaf("Description", "ends_with", "Household")
 _condition_query("leaf_greater_than", leaf("Amount", "greater_than", "50000"), "Amount > 50000")
 _condition_query("leaf_less_than", leaf("Balance_After", "less_than", 0), "Balance_After < 0")
 _condition_query("leaf_regex", leaf("Description", "regex", r"[24]-\w+.* f "), r"regexp_matches(Description, '(?i)[24]-\w+.* f ')")
+_condition_query("leaf_regex_dialect", leaf("Description", "regex", "[[&&5]-[A-Z]{,4}(?# urgency)"), "contains(Description, '5-')")
 _condition_query("leaf_between", leaf("Amount", "between", ["-1000", 1e4]), "Amount BETWEEN -1000 AND 10000")
 _condition_query(
     "leaf_in", leaf("Counterparty_Name", "in", ["Customer#000000001", "CUSTOMER#000000002"]),
@@ -362,7 +364,19 @@ def _(v):
 UNION ALL SELECT 'rule_' || p_partkey, '1', 'not a number much' FROM part WHERE p_partkey % 6 = 3 AND p_size > 25""",
 )
 def _(v):
-    return catalog.condition_problems(catalog.condition_leaves(v.rules_part))
+    return catalog.condition_problems(v.rules_part)
+
+
+@query(
+    "rule_errors_in_trees",
+    """SELECT 'rule_' || p_partkey AS id, '1' AS position, (['conditions are not JSON', 'bad pattern (x', 'unknown node operator XOR',
+       'a node without rules'])[(p_partkey // 6) % 4 + 1] AS problem FROM part WHERE p_partkey % 6 = 5""",
+)
+def _(v):
+    broken = """element_at(array('{"field": broken', '{"field": "Description", "operator": "regex", "value": "(x"}',
+      '{"operator": "XOR", "rules": [{"field": "Currency", "operator": "equals", "value": "EUR"}]}',
+      '{"operator": "AND", "rules": [{"operator": "OR", "rules": []}]}'), cast((seq div 6) % 4 + 1 AS int))"""
+    return catalog.condition_problems(v.rules_part.filter("conditions IS NULL").withColumn("conditions", F.expr(broken)))
 
 
 @query(
@@ -375,6 +389,31 @@ def _(v):
     return catalog.missing_parts(v.rules_part)
 
 
+@query(
+    "rule_insert",
+    """SELECT id, seq, name, created_by FROM rules_part UNION ALL
+SELECT 'copy_' || id, (SELECT max(seq) FROM rules_part) + row_number() OVER (ORDER BY 'copy_' || id), name, 'me' FROM rules_part""",
+    "rules_part",
+)
+def _(v):
+    copies = v.rules_part.drop("seq").withColumn("id", F.concat(F.lit("copy_"), "id"))
+    return catalog.upsert_rules(v.rules_part, copies.unionByName(copies), RULES_AS_OF, "me").select("id", "seq", "name", "created_by")
+
+
+@query(
+    "categorize_regex_rules",
+    """SELECT Date, Amount, Sequence_Number, CASE WHEN n < 250 THEN 'Group ' || (n % 7) ELSE '' END AS Category
+FROM (SELECT *, cast(substr(Counterparty_Name, 10) AS integer) AS n FROM txn_lineitem)""",
+    "txn_lineitem",
+)
+def _(v):
+    found = RuleSet(tuple(
+        Rule(id=f"r{i}", name=f"r{i}", category=f"Group {i % 7}", conditions=leaf("Counterparty_Name", "regex", f"#0*{i}$"))
+        for i in range(250)
+    ))
+    return matching.categorize(v.txn_lineitem, found).select("Date", "Amount", "Sequence_Number", "Category")
+
+
 # --- Filters and search ------------------------------------------------------
 
 
@@ -786,7 +825,8 @@ def _(v):
     f"""SELECT id, seq, name, priority, created_at, created_by, last_modified_at FROM rules_part WHERE coalesce(priority, 50) BETWEEN 11 AND 89
 UNION ALL SELECT id, seq, 'changed ' || name, 42, coalesce(created_at, '2025-01-01T00:00:00'), coalesce(created_by, 'user'), '2025-01-01T00:00:00'
 FROM rules_part WHERE priority >= 90
-UNION ALL SELECT 'new_' || id, seq, 'changed ' || name, 42, '2025-01-01T00:00:00', 'user', NULL FROM rules_part WHERE priority >= 90 AND {_ACTIVE}""",
+UNION ALL SELECT 'new_' || id, (SELECT max(seq) FROM rules_part WHERE coalesce(priority, 50) > 10) + row_number() OVER (ORDER BY seq),
+  'changed ' || name, 42, '2025-01-01T00:00:00', 'user', NULL FROM rules_part WHERE priority >= 90 AND {_ACTIVE}""",
     "rules_part",
 )
 def _(v):
@@ -865,6 +905,33 @@ def _(v):
     return catalog.delete_rows(table, before.filter(F.col("category") == "Brand#9"), ["category"])
 
 
+@query(
+    "category_changes",
+    """SELECT CASE WHEN category = 'Brand#3' THEN 'Brand three' ELSE category END AS category, subcategory, description, active
+FROM tree_part WHERE category <> 'Brand#9'""",
+    "tree_part",
+)
+def _(v):
+    names = v.categories_part.select("category")
+    renames = names.filter(F.col("category") == "Brand#3").withColumn("new_name", F.lit("Brand three"))
+    categories, tree = catalog.rename_categories(v.categories_part, v.tree_part, renames)
+    return catalog.delete_categories(categories, tree, names.filter(F.col("category") == "Brand#9"))[1]
+
+
+@query(
+    "subcategory_changes",
+    """SELECT category, subcategory, description, CASE WHEN category = 'Brand#5' THEN false ELSE active END AS active FROM tree_part
+UNION ALL SELECT category, 'new ' || subcategory, 'added', true FROM tree_part""",
+    "tree_part",
+)
+def _(v):
+    tree = v.tree_part
+    edits = tree.filter(F.col("category") == "Brand#5").select("category", "subcategory", F.lit(False).alias("active"))
+    names = tree.select("category", F.concat(F.lit("new "), "subcategory").alias("subcategory"))
+    wanted = names.unionByName(tree.select("category", "subcategory")).withColumns({"description": F.lit("added"), "active": F.lit(True)})
+    return catalog.insert_new(catalog.update_rows(tree, edits, ["category", "subcategory"]), wanted, ["category", "subcategory"])
+
+
 @query(
     "subcategory_merge",
     """SELECT category, CASE WHEN starts_with(subcategory, 'red ') AND NOT EXISTS (SELECT 1 FROM tree_part o
@@ -1103,6 +1170,46 @@ def _(v):
     return tables.read_latest(v.spark, base, v.labels_orders.schema)
 
 
+@query("label_store_csv", "SELECT * FROM labels_orders", "labels_orders")
+def _(v):
+    path = f"{scratch_folder(v.spark)}/labels"
+    tables.write_csv(v.labels_orders, path)
+    return tables.read_labels(v.spark, path, "csv")
+
+
+@query(
+    "export_written",
+    "SELECT Transaction_ID, Amount, Category, Subcategory FROM categorized WHERE Category <> '' AND Amount > 0",
+    "txn_orders", also=CATEGORIZED,
+)
+def _(v):
+    path = f"{scratch_folder(v.spark)}/export"
+    kept = filters.categorized_only(filters.by_amount(demo_categorized(v), "income"))
+    kept = kept.select("Transaction_ID", "Amount", "Category", "Subcategory")
+    tables.write_csv(kept, path)
+    return v.spark.read.schema(kept.schema).options(**tables.CSV_OPTIONS).csv(path)
+
+
+@query(
+    "rules_document",
+    """SELECT cast(row_number() OVER (ORDER BY seq) - 1 AS integer) AS seq, id, name, category, subcategory,
+       cast(priority AS integer) AS priority, active, conditions, created_at FROM rules_part""",
+    "rules_part",
+)
+def _(v):
+    path = f"{scratch_folder(v.spark)}/rules"
+    documents.write_rules(v.rules_part, path)
+    found = documents.read_rules(v.spark, path)
+    return found.select("seq", "id", "name", "category", "subcategory", "priority", "active", "conditions", "created_at")
+
+
+@query("categories_document", "SELECT * FROM tree_part", "tree_part")
+def _(v):
+    path = f"{scratch_folder(v.spark)}/categories"
+    documents.write_categories(v.categories_part, v.tree_part, path)
+    return documents.read_categories(v.spark, path)[1]
+
+
 def _backup(v: Views) -> str:
     return tables.create_backup(v.spark, scratch_folder(v.spark), v.rules_part, v.categories_part, v.tree_part, v.txn_orders)
 

@@ -30,6 +30,14 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rules.select("seq", "rule.*")
 
 
+def write_rules(rules: DataFrame, path: str) -> None:
+    """The rules in document order as one JSON document, which is one value by its format; empty entries are left out."""
+    fields = [name for name in RULE_TABLE_SCHEMA.fieldNames() if name != "seq" and name in rules.columns]
+    listed = F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("rule"))))
+    in_order = F.transform(listed, lambda entry: entry["rule"]).alias("rules")
+    rules.agg(in_order).select(F.struct("rules").alias("categorization_rules")).write.json(path)
+
+
 def read_rule_set(spark: SparkSession, path: str) -> RuleSet:
     return RuleSet.from_table(read_rules(spark, path))
 
@@ -43,3 +51,12 @@ def read_categories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     categories = top.select("category", "entry.description", "entry.active")
     tree = top.select("category", F.explode("entry.subcategories").alias("subcategory", "below"))
     return categories, tree.select("category", "subcategory", "below.description", "below.active")
+
+
+def write_categories(categories: DataFrame, tree: DataFrame, path: str) -> None:
+    """Categories with their subcategories as one JSON document; subcategories of unknown categories are left out."""
+    entry = F.struct("subcategory", F.struct("description", "active"))
+    below = tree.groupBy("category").agg(F.map_from_entries(F.collect_list(entry)).alias("subcategories"))
+    top = F.struct("category", F.struct("description", "active", "subcategories"))
+    document = categories.join(below, "category", "left").agg(F.map_from_entries(F.collect_list(top)).alias("categories"))
+    document.write.json(path)
