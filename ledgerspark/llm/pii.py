@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,11 @@ ADDED = {
 }
 KINDS = (*BASE, *ADDED)
 
+# The same matches in linear time, however long a run of letters or digits is: an address is sought from its
+# ``@``, and numbers from where digits begin, as a run that fails at its begin fails behind it too.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _HINT = re.compile(r"[0-9@]")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _KEYWORDS = {
@@ -74,28 +80,45 @@ def _passes(kind: str, found: str) -> bool:
     return kind != "phone" or 9 <= len(digits) <= 15
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the email pattern."""
+    end = at = 0
+    while (at := text.find("@", at)) >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            end = domain.end()
+            yield start, end
+        at += 1
+
+
 def base_spans(text: str) -> list[Span]:
     """The base spans by kind as listed, then by start: matches from the left that pass their check."""
     if not _HINT.search(text):
         return []
-    need = {"email": "@" in text, "phone": "+" in text}
-    return [(kind, m.start(), m.end()) for kind, pattern in BASE.items() if need.get(kind, True) for m in pattern.finditer(text) if _passes(kind, m[0])]
+    spans = [("email", a, b) for a, b in _addresses(text)]
+    patterns = {"ip": _IP, "card": BASE["card"]} | ({"phone": BASE["phone"]} if "+" in text else {})
+    return spans + [(kind, m.start(), m.end()) for kind, pattern in patterns.items() for m in pattern.finditer(text) if _passes(kind, m[0])]
 
 
 def added_candidates(text: str, base: list[Span]) -> list[Span]:
     """Spans of the added kinds that touch no base span and no candidate of a kind before."""
     if not _DIGIT.search(text):
         return []
-    taken, out = sorted((a, b) for _, a, b in base), []
+    spans, out = list(base), []
     for kind, pattern in ADDED.items():
+        taken = [(a, b) for a, b, _ in _merged(spans)]
         for m in pattern.finditer(text):
             if kind == "secret" and not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
                 continue
             if kind == "number" and not 6 <= len(_DIGIT.findall(m[0])) <= 20:
                 continue
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            # Of the spans that begin before this one ends, the last reaches furthest.
+            before = bisect_left(taken, (m.end(), 0)) - 1
+            if before < 0 or taken[before][1] <= m.start():
                 out.append((kind, m.start(), m.end()))
-        taken = sorted([*taken, *[(a, b) for k, a, b in out if k == kind]])
+        spans = [*base, *out]
     return out
 
 
