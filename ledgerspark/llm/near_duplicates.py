@@ -1,8 +1,10 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Equal texts are one node from the start, so copies are never paired. Nodes that share a band are candidates;
-within a band only the first and the last node stand against the others, so a band of n nodes gives fewer
-than 2 n pairs, and links run through the classes that these make.
+Equal texts are one node from the start, so copies are never paired. Nodes that share a band are candidates.
+First only the first and the last node of a band stand against the others, fewer than 2 n pairs; links run
+through the classes that these make. Bands whose other nodes are in several classes then are taken up again:
+their nodes meet by band and rare shingle, without which no two texts can be similar enough, until all
+that share a band are compared or in one class.
 """
 
 from __future__ import annotations
@@ -198,13 +200,16 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", settings:
     signed = staged(arrow_map(source, sign, schema))
     nodes = signed.groupBy("_node").agg(F.min("_key").alias("first"), F.any_value("bands").alias("bands"))
     nodes = staged(nodes.withColumn("n", F.monotonically_increasing_id()))
-    low, high = (staged(p) for p in band_pairs(nodes))
+    met = band_members(nodes)
+    low, high = (staged(p) for p in end_pairs(met))
     texts = staged(candidate_texts(nodes, low.unionByName(high), source))
     links = staged(verified(low, texts, shared, settings))
     label = components(links)
     apart = staged(across(high, label))
     more = staged(verified(apart, texts, shared, settings))
-    label = components(links.unionByName(more)) if more.take(1) else label
+    links = links.unionByName(more)
+    label = components(links) if more.take(1) else label
+    label = closed(unsettled(met, label), texts, links, label, shared, settings)
     named = nodes.join(label, "n", "left").select("_node", "first", F.coalesce("label", "n").alias("label"))
     named = staged(named)
     keeper = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_node")))
@@ -224,17 +229,86 @@ def sampler(settings: Settings) -> Sampler:
     return _samplers[settings]
 
 
-def band_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b): each node with the first node of its bands, and with their last."""
+def band_members(nodes: DataFrame) -> DataFrame:
+    """band, n of the bands with several nodes, and the first and last node there (low, high)."""
     entries = nodes.select(F.explode("bands").alias("band"), "n")
     ends = staged(entries.groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high"))
-    met = staged(entries.join(ends, "band").select("n", "low", "high"))
+    return staged(entries.join(ends, "band").select("band", "n", "low", "high"))
+
+
+def end_pairs(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b): each node with the first node of its bands, and with their last."""
     return (
         met.filter("n > low").select(F.col("low").alias("a"), F.col("n").alias("b")).distinct(),
         met.filter("n > low AND n < high").select(F.col("n").alias("a"), F.col("high").alias("b")).distinct(),
     )
 
 
+def unsettled(met: DataFrame, label: DataFrame) -> DataFrame:
+    """band, n of the nodes between the ends of bands, where these nodes aren't all in one component."""
+    inner = met.filter("n > low AND n < high").select("band", "n")
+    several = inner.join(label, "n", "left").groupBy("band").agg(F.min(F.coalesce("label", "n")).alias("least"), F.max(F.coalesce("label", "n")).alias("most"))
+    return staged(inner.join(several.filter("least < most").select("band"), "band"))
+
+
+def rare_shingles(shingles: np.ndarray, own: np.ndarray, weights: Weights) -> np.ndarray:
+    """The rarest shingles of a text, so many that the others weigh less than ``similarity`` of it.
+
+    Two texts that share none of theirs share less than that of their weight, by an order that is the same for all texts.
+    """
+    order = np.lexsort((shingles, -weights.idf[bucket_of(shingles, weights.settings)]))
+    left = own.sum(dtype=np.float64) - np.cumsum(own[order], dtype=np.float64)
+    # A little more than needed, against rounding.
+    enough = left < (weights.settings.similarity - 1e-6) * own.sum(dtype=np.float64)
+    return shingles[order[: int(np.argmax(enough)) + 1]]
+
+
+def meetings(open_: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """key, n: the nodes of ``open_`` (band, n) by hash of band and rare shingle; only shingles that several nodes have."""
+
+    def rare(batch: pa.RecordBatch) -> list:
+        given, out = as_texts(batch.column(1)), []
+        for a, b in slices(given):
+            shingles, own, counts = weights.value.of(given[a:b])
+            cut = np.cumsum(counts)[:-1]
+            out += [rare_shingles(x, w, weights.value).view(np.int64) if len(x) else [] for x, w in zip(np.split(shingles, cut), np.split(own, cut))]
+        return [batch.column(0), out]
+
+    each = arrow_map(texts.join(open_.select("n").distinct(), "n", "left_semi").select("n", "text"), rare, "n long, rare array<long>")
+    rows = staged(each.select("n", F.explode("rare").alias("shingle")))
+    shared = rows.groupBy("shingle").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high").select("shingle")
+    return rows.join(shared, "shingle").join(open_, "n").select(F.xxhash64("band", "shingle").alias("key"), "n")
+
+
+#: Nodes of a meeting that stand against all others in the first round; each round has as many times more.
+PIVOTS = 8
+
+
+def closed(open_: DataFrame, texts: DataFrame, links: DataFrame, label: DataFrame, weights, settings: Settings) -> DataFrame:
+    """``label`` after all links between nodes of ``open_`` that share a band.
+
+    In each round some nodes of a meeting, chosen by hash, stand against those in other components, then leave it.
+    A meeting ends when its nodes are in one component; the rounds grow with the logarithm of its size.
+    """
+    if not open_.take(1):
+        return label
+    entries, pivots = staged(meetings(open_, texts, weights)), PIVOTS
+    while True:
+        at = entries.join(label, "n", "left").select("key", "n", F.coalesce("label", "n").alias("own"))
+        sizes = at.groupBy("key").agg(F.count("*").alias("size"), F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most")
+        live = staged(at.join(sizes.select("key", "size"), "key").select("key", "n", "own", (F.pmod(F.xxhash64("n"), F.col("size")) < pivots).alias("pivot")))
+        if not live.take(1):
+            return label
+        first = live.filter("pivot").select("key", F.col("n").alias("other"), F.col("own").alias("theirs"))
+        pairs = live.join(first, "key").filter("own != theirs AND (NOT pivot OR n < other)")
+        pairs = staged(pairs.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct())
+        found = staged(verified(pairs, texts, weights, settings))
+        if found.take(1):
+            links = links.unionByName(found)
+            label = components(links)
+        entries, pivots = live.filter("NOT pivot").select("key", "n"), pivots * PIVOTS
+
+
 #: Bits of the hash by which rows are passed over that can't be candidates; bounds what is broadcast.
 PASS_BITS = 20
 
