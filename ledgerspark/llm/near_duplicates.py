@@ -1,8 +1,10 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Equal texts are one node from the start, so copies are never paired. Nodes that share a band are candidates;
-within a band only the first and the last node stand against the others, so a band of n nodes gives fewer
-than 2 n pairs, and links run through the classes that these make.
+Equal texts are one node from the start, so copies are never paired. Nodes that share a band are candidates.
+First the node of each band that meets the most others (the centre of a group, if it has one) stands against
+the rest, and links run through the classes that this makes. Bands whose other nodes are in several classes
+then are taken up again: their nodes meet by rare shingle, without which no two texts can be similar enough,
+until all that share a band are compared or in one class.
 """
 
 from __future__ import annotations
@@ -198,13 +200,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", settings:
     signed = staged(arrow_map(source, sign, schema))
     nodes = signed.groupBy("_node").agg(F.min("_key").alias("first"), F.any_value("bands").alias("bands"))
     nodes = staged(nodes.withColumn("n", F.monotonically_increasing_id()))
-    low, high = (staged(p) for p in band_pairs(nodes))
-    texts = staged(candidate_texts(nodes, low.unionByName(high), source))
-    links = staged(verified(low, texts, shared, settings))
+    met = band_members(nodes)
+    pairs = staged(centre_pairs(met))
+    texts = staged(candidate_texts(nodes, pairs, source))
+    links = staged(verified(pairs, texts, shared, settings))
     label = components(links)
-    apart = staged(across(high, label))
-    more = staged(verified(apart, texts, shared, settings))
-    label = components(links.unionByName(more)) if more.take(1) else label
+    label = closed(unsettled(met, label), nodes, texts, links, label, shared, settings)
     named = nodes.join(label, "n", "left").select("_node", "first", F.coalesce("label", "n").alias("label"))
     named = staged(named)
     keeper = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_node")))
@@ -224,15 +225,104 @@ def sampler(settings: Settings) -> Sampler:
     return _samplers[settings]
 
 
-def band_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b): each node with the first node of its bands, and with their last."""
-    entries = nodes.select(F.explode("bands").alias("band"), "n")
-    ends = staged(entries.groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high"))
-    met = staged(entries.join(ends, "band").select("n", "low", "high"))
-    return (
-        met.filter("n > low").select(F.col("low").alias("a"), F.col("n").alias("b")).distinct(),
-        met.filter("n > low AND n < high").select(F.col("n").alias("a"), F.col("high").alias("b")).distinct(),
-    )
+def centred(entries: DataFrame, key: str) -> DataFrame:
+    """``entries`` (key, n and more) with size, the nodes of the key, and centre, the one of them that meets the most nodes over all keys."""
+    sized = staged(entries.join(entries.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1"), key))
+    scores = sized.groupBy("n").agg(F.sum(F.col("size") - 1).alias("score"))
+    centres = sized.select(key, "n").join(scores, "n").groupBy(key).agg(F.max_by("n", F.struct("score", (-F.col("n")).alias("least"))).alias("centre"))
+    return sized.join(centres, key)
+
+
+def band_members(nodes: DataFrame) -> DataFrame:
+    """band, n of the bands with several nodes, and the node there that meets the most others (centre)."""
+    return staged(centred(nodes.select(F.explode("bands").alias("band"), "n"), "band").select("band", "n", "centre"))
+
+
+def centre_pairs(met: DataFrame) -> DataFrame:
+    """Candidates (a, b): each node with the centres of its bands."""
+    return met.filter("n != centre").select(F.least("n", "centre").alias("a"), F.greatest("n", "centre").alias("b")).distinct()
+
+
+def unsettled(met: DataFrame, label: DataFrame) -> DataFrame:
+    """n: the nodes, but for centres, of the bands where these aren't all in one component."""
+    inner = met.filter("n != centre").select("band", "n")
+    several = inner.join(label, "n", "left").groupBy("band").agg(F.min(F.coalesce("label", "n")).alias("least"), F.max(F.coalesce("label", "n")).alias("most"))
+    return staged(inner.join(several.filter("least < most").select("band"), "band").select("n").distinct())
+
+
+def rarest_first(shingles: np.ndarray, own: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the rarest shingles, so many that the others weigh less than ``similarity`` of the text, and the weight from each on.
+
+    Two texts that share none of theirs share less than that of their weight, by an order that is the same for all texts.
+    """
+    order = np.lexsort((shingles, -weights.idf[bucket_of(shingles, weights.settings)]))
+    total, run = own.sum(dtype=np.float64), np.cumsum(own[order], dtype=np.float64)
+    # A little more than needed, against rounding.
+    n = int(np.argmax(total - run < (weights.settings.similarity - 1e-6) * total)) + 1
+    return order[:n], total - run[:n] + own[order[:n]]
+
+
+def rare_shingles(shingles: np.ndarray, own: np.ndarray, weights: Weights) -> np.ndarray:
+    return shingles[rarest_first(shingles, own, weights)[0]]
+
+
+def meetings(open_: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """key, n of the nodes of ``open_`` by rare shingle that several have, with the text's weight (total) and that from the shingle on (rest)."""
+
+    def rare(batch: pa.RecordBatch) -> list:
+        given, keys, rests, totals = as_texts(batch.column(1)), [], [], []
+        for a, b in slices(given):
+            shingles, own, counts = weights.value.of(given[a:b])
+            cut = np.cumsum(counts)[:-1]
+            for x, w in zip(np.split(shingles, cut), np.split(own, cut)):
+                chosen, rest = rarest_first(x, w, weights.value) if len(x) else ([], np.empty(0))
+                keys.append(x[chosen].view(np.int64) if len(x) else [])
+                rests.append(rest)
+                totals.append(float(w.sum(dtype=np.float64)))
+        return [batch.column(0), pa.array(totals, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.float64()))]
+
+    each = arrow_map(texts.join(open_, "n", "left_semi").select("n", "text"), rare, "n long, total double, keys array<long>, rests array<double>")
+    rows = staged(each.select("n", "total", F.explode(F.arrays_zip("keys", "rests")).alias("at")).select(F.col("at.keys").alias("key"), "n", "total", F.col("at.rests").alias("rest")))
+    shared = rows.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high").select("key")
+    return rows.join(shared, "key")
+
+
+#: In each round, so many times more nodes of a meeting stand against all others; in the first it's the centre alone.
+PIVOTS = 8
+
+
+def closed(open_: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, label: DataFrame, weights, settings: Settings) -> DataFrame:
+    """``label`` after all links between nodes of ``open_`` that share a band.
+
+    In each round some nodes of a meeting, the centre and others by hash, stand against those in other components,
+    then leave it. A meeting ends when its nodes are in one component; the rounds grow with the logarithm of its size.
+    """
+    if not open_.take(1):
+        return label
+    entries, pivots = staged(meetings(open_, texts, weights)), 1
+    bands = staged(nodes.join(open_, "n", "left_semi").select("n", "bands"))
+    # Of the first shingle that two texts share, all they share comes after: both rests are as heavy as what must be shared.
+    part = (settings.similarity - 1e-6) / (1 + settings.similarity - 1e-6)
+    enough = F.least("rest", "other_rest") >= part * (F.col("total") + F.col("other_total"))
+    while True:
+        at = entries.join(label, "n", "left").select("key", "n", "total", "rest", F.coalesce("label", "n").alias("own"))
+        several = at.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most").select("key")
+        live = centred(at.join(several, "key"), "key")
+        chosen = (F.col("n") == F.col("centre")) | (F.pmod(F.xxhash64("n"), F.col("size")) < pivots - 1)
+        live = staged(live.select("key", "n", "total", "rest", "own", chosen.alias("pivot")))
+        if not live.take(1):
+            return label
+        first = live.filter("pivot").select("key", F.col("n").alias("other"), F.col("own").alias("theirs"), F.col("total").alias("other_total"), F.col("rest").alias("other_rest"))
+        first = first.withColumnRenamed("key", "their_key")
+        met = live.join(first, (live["key"] == first["their_key"]) & (F.col("own") != F.col("theirs")) & (~F.col("pivot") | (F.col("n") < F.col("other"))) & enough)
+        pairs = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
+        pairs = pairs.join(bands.select(F.col("n").alias("a"), F.col("bands").alias("bands_a")), "a").join(bands.select(F.col("n").alias("b"), F.col("bands").alias("bands_b")), "b")
+        pairs = staged(pairs.filter(F.arrays_overlap("bands_a", "bands_b")).select("a", "b"))
+        found = staged(verified(pairs, texts, weights, settings))
+        if found.take(1):
+            links = links.unionByName(found)
+            label = components(links)
+        entries, pivots = live.filter("NOT pivot").select("key", "n", "total", "rest"), pivots * PIVOTS
 
 
 #: Bits of the hash by which rows are passed over that can't be candidates; bounds what is broadcast.
@@ -289,13 +379,6 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't in one component yet."""
-    a, b = label.select(F.col("n").alias("a"), F.col("label").alias("la")), label.select(F.col("n").alias("b"), F.col("label").alias("lb"))
-    found = pairs.join(a, "a", "left").join(b, "b", "left")
-    return found.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, with its columns."""
     found = staged(classes(docs, text, key, settings))

@@ -202,6 +202,64 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(label)) and left.columns == docs(spark, texts).columns
 
 
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_links_within_crowded_bands_are_found(spark, monkeypatch, pivots):
+    monkeypatch.setattr(near_duplicates, "PIVOTS", pivots + 1)
+    draw = np.random.default_rng(6)
+    word = lambda: "w" + str(draw.integers(0, 10**6))
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(60):
+        own = [word() for _ in range(40)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [word()])]
+    texts = [texts[i] for i in draw.permutation(len(texts))]
+    settings = near_duplicates.Settings(bands=2, rows=1)
+    table = docs(spark, texts)
+    weights = near_duplicates.weights_of(table, "text", settings)
+    shingles, own, counts = weights.of(texts)
+    bands = near_duplicates.Sampler(settings).bands(shingles, own, counts)
+    cut = np.cumsum(counts)[:-1]
+    sets = list(zip(np.split(shingles, cut), np.split(own, cut)))
+    label, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and near_duplicates.similarity(sets[i], sets[j]) >= settings.similarity:
+                low, high = sorted((label[i], label[j]))
+                label, links = [low if x == high else x for x in label], links + 1
+    assert links >= 50 and max(collections.Counter(bands[:, 0]).values()) > 20
+    assert {r._key: r.class_id for r in near_duplicates.classes(table, settings=settings).collect()} == dict(enumerate(label))
+
+
+def test_similar_texts_share_a_rare_shingle():
+    draw = np.random.default_rng(7)
+    settings = near_duplicates.Settings()
+    weights = near_duplicates.Weights((1 + draw.random(settings.buckets) / 4).astype(np.float32), settings)
+    for _ in range(200):
+        words = [f"w{i}" for i in draw.integers(0, 60, 80)]
+        other = [f"w{i}" if draw.random() < 0.03 else w for i, w in zip(draw.integers(0, 60, 80), words)]
+        shingles, own, counts = weights.of([" ".join(words), " ".join(other)])
+        a, b = (shingles[: counts[0]], own[: counts[0]]), (shingles[counts[0] :], own[counts[0] :])
+        if near_duplicates.similarity(a, b) >= settings.similarity:
+            assert set(near_duplicates.rare_shingles(*a, weights)) & set(near_duplicates.rare_shingles(*b, weights))
+
+
+def test_copies_of_a_centre_are_one_class(spark):
+    draw = np.random.default_rng(9)
+    word = lambda: "w" + str(draw.integers(0, 10**6))
+    centre = [word() for _ in range(300)]
+    copies = []
+    for _ in range(300):
+        copies.append(list(centre))
+        for place in draw.choice(300, 5, replace=False):
+            copies[-1][place] = word()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in [centre, *copies]]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert np.mean([jaccard(sets[0], s) for s in sets[1:]]) > 0.84 and np.mean([jaccard(sets[1], s) < 0.8 for s in sets[2:]]) > 0.95
+    texts = [" ".join(w) for w in copies]
+    texts.insert(150, " ".join(centre))
+    rows = near_duplicates.classes(docs(spark, texts)).collect()
+    assert len(rows) == 301 and {r.class_texts for r in rows} == {301}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     kept = near_duplicates.deduplicated(odd).collect()
     assert len(kept) == len({r.text or "" for r in odd.collect()})
