@@ -47,22 +47,29 @@ _BOILERPLATE = re.compile(
 
 @dataclass(frozen=True)
 class Settings:
-    """A class belongs to the template if it's on ``support`` of the host's pages, on ``least_pages`` at least, and has ``least_tokens`` tokens."""
+    """A class belongs to the template if it's on ``support`` of the host's pages, on ``least_pages`` at least, and has ``least_tokens`` tokens.
+
+    The main box is the deepest that holds ``share`` of the varying text of the host, with all boxes in it.
+    """
 
     support: float = 0.5
     least_pages: int = 3
     least_tokens: int = 3
+    share: float = 0.8
 
 
 @dataclass
 class Block:
-    """A text block: the hash of its boxes, whether one is main, whether one is boilerplate, its text."""
+    """A text block: the hashes of its boxes from the page on, whether one is main, whether one is boilerplate, its text."""
 
-    place: int
+    boxes: tuple[int, ...]
     main: bool
     outside: bool
     text: str
 
+    def token(self) -> int:
+        return _hash(self.boxes[-1], "text", self.text)
+
 
 def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
@@ -74,15 +81,15 @@ def read(source: str) -> tuple[Counter, list[Block]]:
     Closing tags end the nearest open box of their name, stray ones are passed over, so unclosed paragraphs
     and inline tags don't matter.
     """
-    tags, blocks, stack, parts = Counter(), [], [("", 0, False, False)], []
+    tags, blocks, stack, parts = Counter(), [], [("", (0,), False, False)], []
 
     def end_block() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, place, main, outside = stack[-1]
-                blocks.append(Block(place, main, outside, text))
+                _, boxes, main, outside = stack[-1]
+                blocks.append(Block(boxes, main, outside, text))
 
     for token in _TOKEN.finditer(source):
         if (text := token["text"]) is not None:
@@ -95,12 +102,12 @@ def read(source: str) -> tuple[Counter, list[Block]]:
             continue
         end_block()
         if name not in _BOXES:
-            tags[_hash(stack[-1][1], token["close"], name)] += 1
+            tags[_hash(stack[-1][1][-1], token["close"], name)] += 1
             continue
         if token["close"]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if at:
-                tags[_hash(stack[at][1], "/")] += 1
+                tags[_hash(stack[at][1][-1], "/")] += 1
                 del stack[at:]
             continue
         given = {a.lower(): v.strip("\"'") for a, v in _ATTRIBUTE.findall(token["attributes"])}
@@ -108,10 +115,10 @@ def read(source: str) -> tuple[Counter, list[Block]]:
         own = " ".join(given.get(a, "") for a in ("class", "id", "role"))
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true"
         outside = outside or hidden or name in _OUTSIDE or name == "header" and not main or name not in (*_MAIN, "body", "html") and bool(_BOILERPLATE.search(own))
-        place = _hash(above, name, given.get("class", ""))
+        place = _hash(above[-1], name, given.get("class", ""))
         tags[place] += 1
         if not token["attributes"].endswith("/"):
-            stack.append((name, place, main or name in _MAIN and not outside, outside))
+            stack.append((name, (*above, place), main or name in _MAIN and not outside, outside))
     end_block()
     return tags, blocks
 
@@ -122,7 +129,7 @@ def host_of(url: str) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", settings: Settings = Settings()) -> DataFrame:
-    """One row per host with a template: host, tokens (hashes), main (the box with most varying text, or null).
+    """One row per host with a template: host, tokens (hashes).
 
     An occurrence vector is stood for by sums of hashes over (page, count), so it is built with map-side
     aggregation and no page meets another.
@@ -133,42 +140,59 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", key: str
         hosts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for host, page, text in zip(hosts, keys, as_texts(batch.column(2))):
             tags, blocks = read(text)
-            seen, chars = Counter(tags), Counter()
-            for b in blocks:
-                seen[_hash(b.place, "text", b.text)] += 1
-                if not b.outside:
-                    chars[b.place] += len(b.text)
-            out.append((host, -1, 1, 0, 0, 0))
+            seen = tags + Counter(b.token() for b in blocks)
+            out.append((host, -1, 1, 0, 0))
             for token, n in seen.items():
                 h = xxhash.xxh3_64_intdigest(f"{page}\0{n}")
-                out.append((host, token, n, h >> 33, h & 0x7FFFFFFF, chars.get(token, 0)))
+                out.append((host, token, n, h >> 33, h & 0x7FFFFFFF))
         return [list(c) for c in zip(*out)]
 
-    rows = arrow_map(pages.select(host_of(url).alias("host"), F.xxhash64(key, url).alias("page"), source), tokens, "host string, token long, n long, high long, low long, chars long")
-    found = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("chars").alias("chars"))
+    rows = arrow_map(pages.select(host_of(url).alias("host"), F.xxhash64(key, url).alias("page"), source), tokens, "host string, token long, n long, high long, low long")
+    found = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low"))
     found = staged(found)
     sizes = found.filter("token = -1").select("host", F.col("pages").alias("all"))
     vector = ["host", "pages", "n", "high", "low"]
     often = found.filter(f"token >= 0 AND pages >= {settings.least_pages}").join(sizes, "host").filter(F.col("pages") >= settings.support * F.col("all"))
     valid = often.groupBy(*vector).agg(F.count("*").alias("size"), F.collect_list("token").alias("tokens")).filter(F.col("size") >= settings.least_tokens)
-    template = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    box = often.filter("chars > 0").groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("main"))
-    return template.join(box, "host", "left")
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+
+
+def slots(blocks: list[Block], template: set[int]) -> list[Block]:
+    """The blocks outside boilerplate that aren't themselves part of the template."""
+    return [b for b in blocks if not b.outside and b.token() not in template]
+
+
+def main_boxes(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row per host of ``rows`` (_host, _html, tokens) whose pages have varying text: _host, main."""
+
+    def held(batch: pa.RecordBatch) -> list:
+        chars, known = Counter(), {}
+        for host, source, tokens in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), batch.column(2)):
+            if host not in known:
+                known[host] = set(tokens.as_py())
+            for b in slots(read(source)[1], known[host]):
+                for depth, box in enumerate(b.boxes):
+                    chars[host, box, depth] += len(b.text)
+        return [list(c) for c in zip(*((*k, n) for k, n in chars.items()))] if chars else [[], [], [], []]
+
+    found = arrow_map(rows.filter("tokens IS NOT NULL").select("_host", "_html", "tokens"), held, "_host string, box long, depth int, chars long")
+    found = staged(found.groupBy("_host", "box", "depth").agg(F.sum("chars").alias("chars")))
+    totals = found.filter("depth = 0").select("_host", F.col("chars").alias("total"))
+    most = found.join(totals, "_host").filter(F.col("chars") >= settings.share * F.col("total"))
+    return most.groupBy("_host").agg(F.max_by("box", F.struct("depth", "chars", "box")).alias("main"))
 
 
 def article(source: str, template: set[int], main: int | None) -> str:
     """The blocks of the main slots, one to a line.
 
     These are the blocks in article or main elements, less boilerplate boxes. A page without such blocks gives
-    the slots of the template's main box, or else all slots: blocks outside boilerplate that aren't
-    themselves part of the template.
+    the slots anywhere in the template's main box, or else all slots.
     """
     _, blocks = read(source)
-    blocks = [b for b in blocks if not b.outside]
-    chosen = [b for b in blocks if b.main]
+    chosen = [b for b in blocks if b.main and not b.outside]
     if not chosen:
-        slots = [b for b in blocks if _hash(b.place, "text", b.text) not in template]
-        chosen = [b for b in slots if main is not None and b.place == main] or slots
+        open_ = slots(blocks, template)
+        chosen = [b for b in open_ if main in b.boxes] or open_
     return "\n".join(b.text for b in chosen)
 
 
@@ -179,11 +203,12 @@ def extracted(pages: DataFrame, url: str = "url", source: str = "html", key: str
     host of no name. Repeated rows are rows of their own.
     """
     known = staged(templates(pages, url, source, key, settings))
-    found = known.select(F.col("host").alias("_host"), "tokens", "main")
-    if known.count() <= BROADCAST_HOSTS:
-        found = F.broadcast(found)
+    found = known.select(F.col("host").alias("_host"), "tokens")
+    few = known.count() <= BROADCAST_HOSTS
     rows = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), F.col(f"`{source}`").alias("_html"), host_of(url).alias("_host"))
-    rows = rows.join(found, "_host", "left").select("_key", "_url", "_html", "tokens", "main")
+    main = staged(main_boxes(rows.join(F.broadcast(found) if few else found, "_host"), settings))
+    found = found.join(main, "_host", "left")
+    rows = rows.join(F.broadcast(found) if few else found, "_host", "left").select("_key", "_url", "_html", "tokens", "main")
 
     def extract(batch: pa.RecordBatch) -> list:
         tokens, mains = batch.column(3).to_pylist(), batch.column(4).to_pylist()

@@ -286,6 +286,17 @@ def test_articles(spark):
     assert found[2].text == found[3].text == "" and all(found[10 + i].text == f"Body {i}" for i in range(6))
 
 
+def host_pages(spark, source):
+    rows = [(i, f"http://c.example/{i}", source.replace("{0}", str(i))) for i in range(6)]
+    return {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_boxes_in_the_main_box_belong_to_the_article(spark):
+    story = '<p>A{0}</p><ul><li>B{0}</li></ul><blockquote>C{0}</blockquote><div class="part"><p>D{0}</p><table><tr><td>E{0}</td></tr></table></div><div class="rest"><div>F{0}</div></div>'
+    found = host_pages(spark, f'<html><body><div class="menu">Home</div><div class="story">{story}</div><div class="box">Same on all</div></body></html>')
+    assert found == {i: "\n".join(f"{x}{i}" for x in "ABCDEF") for i in range(6)}
+
+
 def test_quality_against_plain_python(spark, odd):
     line = "one two three four five six seven eight nine ten"
     texts = [line, f"{line}\n{line}\n \n{line}", "a b c d e a b c d e a b", "## $$ x", None, " \t"]
