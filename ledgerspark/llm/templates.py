@@ -49,21 +49,23 @@ _BOILERPLATE = re.compile(
 class Settings:
     """A class belongs to the template if it's on ``support`` of the host's pages, on ``least_pages`` at least, and has ``least_tokens`` tokens.
 
-    The main box is the deepest that holds ``share`` of the varying text of the host, with all boxes in it.
+    The main box is the deepest that holds ``share`` of the varying text of the host, with all boxes in it;
+    for an article or main element, which a page has once, ``named_share`` is enough.
     """
 
     support: float = 0.5
     least_pages: int = 3
     least_tokens: int = 3
     share: float = 0.8
+    named_share: float = 0.6
 
 
 @dataclass
 class Block:
-    """A text block: the hashes of its boxes from the page on, whether one is main, whether one is boilerplate, its text."""
+    """A text block: the hashes of its boxes from the page on, those that are main, whether one is boilerplate, its text."""
 
     boxes: tuple[int, ...]
-    main: bool
+    named: tuple[int, ...]
     outside: bool
     text: str
 
@@ -81,15 +83,15 @@ def read(source: str) -> tuple[Counter, list[Block]]:
     Closing tags end the nearest open box of their name, stray ones are passed over, so unclosed paragraphs
     and inline tags don't matter.
     """
-    tags, blocks, stack, parts = Counter(), [], [("", (0,), False, False)], []
+    tags, blocks, stack, parts = Counter(), [], [("", (0,), (), False)], []
 
     def end_block() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, boxes, main, outside = stack[-1]
-                blocks.append(Block(boxes, main, outside, text))
+                _, boxes, named, outside = stack[-1]
+                blocks.append(Block(boxes, named, outside, text))
 
     for token in _TOKEN.finditer(source):
         if (text := token["text"]) is not None:
@@ -111,14 +113,14 @@ def read(source: str) -> tuple[Counter, list[Block]]:
                 del stack[at:]
             continue
         given = {a.lower(): v.strip("\"'") for a, v in _ATTRIBUTE.findall(token["attributes"])}
-        _, above, main, outside = stack[-1]
+        _, above, named, outside = stack[-1]
         own = " ".join(given.get(a, "") for a in ("class", "id", "role"))
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true"
-        outside = outside or hidden or name in _OUTSIDE or name == "header" and not main or name not in (*_MAIN, "body", "html") and bool(_BOILERPLATE.search(own))
+        outside = outside or hidden or name in _OUTSIDE or name == "header" and not named or name not in (*_MAIN, "body", "html") and bool(_BOILERPLATE.search(own))
         place = _hash(above[-1], name, given.get("class", ""))
         tags[place] += 1
         if not token["attributes"].endswith("/"):
-            stack.append((name, (*above, place), main or name in _MAIN and not outside, outside))
+            stack.append((name, (*above, place), (*named, place) if name in _MAIN and not outside else named, outside))
     end_block()
     return tags, blocks
 
@@ -162,6 +164,13 @@ def slots(blocks: list[Block], template: set[int]) -> list[Block]:
     return [b for b in blocks if not b.outside and b.token() not in template]
 
 
+def without_cards(tags: Counter, blocks: list[Block]) -> tuple[list[Block], set[int]]:
+    """``blocks`` without those of article elements that the page has several times, if these have less than half of the text; and the elements it has once."""
+    single = {b for block in blocks for b in block.named if tags[b] == 1}
+    rest = [b for b in blocks if all(n in single for n in b.named)]
+    return (rest if 2 * sum(len(b.text) for b in rest) > sum(len(b.text) for b in blocks) else blocks), single
+
+
 def main_boxes(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per host of ``rows`` (_host, _html, tokens) whose pages have varying text: _host, main."""
 
@@ -170,29 +179,30 @@ def main_boxes(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for host, source, tokens in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), batch.column(2)):
             if host not in known:
                 known[host] = set(tokens.as_py())
-            for b in slots(read(source)[1], known[host]):
+            tags, blocks = read(source)
+            used, single = without_cards(tags, slots(blocks, known[host]))
+            for b in used:
                 for depth, box in enumerate(b.boxes):
-                    chars[host, box, depth] += len(b.text)
-        return [list(c) for c in zip(*((*k, n) for k, n in chars.items()))] if chars else [[], [], [], []]
+                    chars[host, box, depth, box in single] += len(b.text)
+        return [list(c) for c in zip(*((*k, n) for k, n in chars.items()))] if chars else [[], [], [], [], []]
 
-    found = arrow_map(rows.filter("tokens IS NOT NULL").select("_host", "_html", "tokens"), held, "_host string, box long, depth int, chars long")
-    found = staged(found.groupBy("_host", "box", "depth").agg(F.sum("chars").alias("chars")))
+    found = arrow_map(rows.filter("tokens IS NOT NULL").select("_host", "_html", "tokens"), held, "_host string, box long, depth int, named boolean, chars long")
+    found = staged(found.groupBy("_host", "box", "depth").agg(F.max("named").alias("named"), F.sum("chars").alias("chars")))
     totals = found.filter("depth = 0").select("_host", F.col("chars").alias("total"))
-    most = found.join(totals, "_host").filter(F.col("chars") >= settings.share * F.col("total"))
-    return most.groupBy("_host").agg(F.max_by("box", F.struct("depth", "chars", "box")).alias("main"))
+    most = found.join(totals, "_host").filter(F.col("chars") >= F.when(F.col("named"), settings.named_share).otherwise(settings.share) * F.col("total"))
+    return most.groupBy("_host").agg(F.max_by("box", F.struct("named", "depth", "chars", "box")).alias("main"))
 
 
 def article(source: str, template: set[int], main: int | None) -> str:
     """The blocks of the main slots, one to a line.
 
-    These are the blocks in article or main elements, less boilerplate boxes. A page without such blocks gives
-    the slots anywhere in the template's main box, or else all slots.
+    These are the slots anywhere in the template's main box. A page without that box, or of a host without a
+    template, gives the slots in article or main elements, or else all; a page that is template throughout, as
+    all pages of its host are copies, gives its blocks.
     """
     _, blocks = read(source)
-    chosen = [b for b in blocks if b.main and not b.outside]
-    if not chosen:
-        open_ = slots(blocks, template)
-        chosen = [b for b in open_ if main in b.boxes] or open_
+    open_ = slots(blocks, template) or slots(blocks, set())
+    chosen = [b for b in open_ if main in b.boxes] or [b for b in open_ if b.named] or open_
     return "\n".join(b.text for b in chosen)
 
 

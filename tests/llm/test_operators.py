@@ -292,9 +292,19 @@ def host_pages(spark, source):
 
 
 def test_boxes_in_the_main_box_belong_to_the_article(spark):
-    story = '<p>A{0}</p><ul><li>B{0}</li></ul><blockquote>C{0}</blockquote><div class="part"><p>D{0}</p><table><tr><td>E{0}</td></tr></table></div><div class="rest"><div>F{0}</div></div>'
+    story = '<p>A, the longest of all{0}</p><ul><li>B{0}</li></ul><blockquote>C{0}</blockquote><div class="part"><p>D{0}</p><table><tr><td>E{0}</td></tr></table></div><div class="rest"><div>F{0}</div></div>'
     found = host_pages(spark, f'<html><body><div class="menu">Home</div><div class="story">{story}</div><div class="box">Same on all</div></body></html>')
-    assert found == {i: "\n".join(f"{x}{i}" for x in "ABCDEF") for i in range(6)}
+    assert found == {i: "\n".join(f"{x}{i}" for x in ("A, the longest of all", *"BCDEF")) for i in range(6)}
+
+
+def test_templates_decide_where_pages_have_articles(spark):
+    cards = '<article class="card"><p>Card {0}a</p></article><article class="card"><p>Card {0}b</p></article>'
+    found = host_pages(spark, f'<html><body>{cards}<div class="story"><p>Long story {{0}}</p><ul><li>Its list {{0}}</li></ul></div></body></html>')
+    assert found == {i: f"Long story {i}\nIts list {i}" for i in range(6)}
+    found = host_pages(spark, '<html><body><article><h1>Head {0}</h1><p>Body {0}</p><div class="x"><p>Same on all pages, and long</p></div></article><div class="y">Low {0}</div></body></html>')
+    assert found == {i: f"Head {i}\nBody {i}" for i in range(6)}
+    found = host_pages(spark, "<html><body><article><h1>One page</h1><p>Under several addresses</p></article></body></html>")
+    assert set(found.values()) == {"One page\nUnder several addresses"}
 
 
 def test_quality_against_plain_python(spark, odd):
