@@ -96,6 +96,15 @@ def test_shards_are_even_and_copies_meet(spark, shards):
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len(texts[r.doc_id] or "") + 16 for r in rows)
 
 
+@pytest.mark.parametrize("texts, places", [([f"pair {i // 2}" for i in range(800)], 410), ([f"group {i // 100}" for i in range(600)] + [f"single {i}" for i in range(200)], 212), (["hot"] * 300 + [f"pair {i // 2}" for i in range(160)] + [f"single {i}" for i in range(340)], 424)])
+def test_copies_meet_in_full_shards(spark, texts, places):
+    rows = sharding.sharded(docs(spark, texts), 8).collect()
+    per = collections.Counter(r.shard for r in rows)
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and set(per.values()) == {100}
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(100)) for s in per)
+    assert len({(texts[r.doc_id], r.shard) for r in rows}) <= places
+
+
 def test_shards_of_nothing(spark):
     assert sharding.sharded(docs(spark, []), 5).count() == 0
 
