@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a calibrated score; documents without a letter go."""
+    """Documents whose language is told with a calibrated score; documents without a letter go. If no language could be learned, all others stay."""
     return _same(langid.identify(docs, langid.trained(docs)).filter("NOT rejected"), docs)
 
 

@@ -26,7 +26,8 @@ STEP_WORDS = 1 << 16
 
 @dataclass(frozen=True)
 class Settings:
-    """The training sample has about ``sample`` rows at most, the same number for each language, of texts up to ``longest`` characters.
+    """The training sample has about ``sample`` rows at most, the same number for each language. Texts up to ``longest``
+    characters come first; where a language has too few, so much of longer ones, from a place chosen by hash.
 
     A text is rejected if its calibrated score is below the lowest one at which accepted texts are right
     with ``precision``, but of the texts told rightly only ``lost`` may go; and in any case below ``floor``
@@ -102,12 +103,12 @@ class Model:
         return np.column_stack([np.add.reduceat(self.table[bucket], np.cumsum(counts) - counts), counts])
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score, and whether the text is rejected; ``und`` with score 0 for texts without a letter."""
+        """Language, score, and whether the text is rejected; ``und`` with score 0 for texts without a letter, or all if no language is known."""
         scores = self.scores(texts) if self.languages else np.zeros((len(texts), 1))
-        letters = np.array([bool(_LETTER.search(t)) for t in texts], bool) & bool(self.languages)
+        letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
         best = scores.argmax(axis=1)
         score = np.where(letters, scores[np.arange(len(texts)), best], 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.clip(score, 0, 1), ~letters | (score < self.threshold)
+        return [self.languages[b] if ok and self.languages else UNKNOWN for b, ok in zip(best, letters)], np.clip(score, 0, 1), ~letters | (score < self.threshold)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_rows": {}, "_sums": None}
@@ -121,7 +122,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
     """Stochastic gradient descent on four fifths of the rows; temperature and threshold come from the last fifth.
 
-    Only texts with a letter count. Without any, the model knows no language and rejects everything.
+    Only texts with a letter count. Without any, the model knows no language and rejects only texts without a letter.
     """
     rows = [(t, x) for t, x in zip(texts, languages) if _LETTER.search(t)]
     names = sorted({x for _, x in rows})
@@ -183,13 +184,21 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """A model from a sample of the labelled rows that aren't held out, chosen by a hash of the key."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key"), held_out(key).alias("held"))
     rows = rows.filter(~F.col("held") & F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.filter(F.length("text") <= settings.longest)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    length, unit = F.length("text"), 1 << 30
+    rows = rows.withColumn("long", length > settings.longest)
+    counts = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
+    names = {k for k, _ in counts}
+    if not names:
         return fit([], [], settings)
-    each, unit = max(1, settings.sample // len(counts)), 1 << 30
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, each / n) * unit))])
-    chosen = rows.filter(F.pmod(F.xxhash64("key"), F.lit(unit)) < shares[F.col("lang")]).select("text", "lang").collect()
+    each, limits = max(1, settings.sample // len(names)), []
+    for k in names:
+        short = min(each, counts.get((k, False), 0))
+        for long, wanted in ((False, short), (True, each - short)):
+            limits.append((F.struct(F.lit(k).alias("lang"), F.lit(long).alias("long")), int(min(1.0, wanted / max(1, counts.get((k, long), 0))) * unit)))
+    shares = F.create_map(*[x for k, n in limits for x in (k, F.lit(n))])
+    begin = F.when(F.col("long"), F.pmod(F.xxhash64("key", F.lit(settings.seed)), length - settings.longest + 1)).otherwise(0).cast("int") + 1
+    rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(unit)) < shares[F.struct("lang", "long")])
+    chosen = rows.select(F.substring("text", begin, F.lit(settings.longest)).alias("text"), "lang").collect()
     chosen = sorted((r["text"], r["lang"]) for r in chosen)
     return fit([t for t, _ in chosen], [x for _, x in chosen], settings)
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import forest, langid, near_duplicates, packing, pii, prefix_bpe, quality, rank_merge, sharding, templates
 from ledgerspark.llm.queries import BYTE_BPE, MULTI_BPE, PATTERN
@@ -149,6 +150,23 @@ def test_a_long_word_counts_like_short_ones(monkeypatch):
     assert np.allclose(langid.fit(texts, ["de", "en"] * 40).scores(given), whole)
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    words = {"en": "the of and thing ther ing", "de": "der und ung schein keit"}
+    draw = np.random.default_rng(10)
+    rows = [(i, " ".join(draw.choice(words[k].split(), 300 if k == "de" else 30)), k) for i, k in enumerate(["en", "de"] * 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(table, settings=langid.Settings(longest=400))
+    assert model.languages == ["de", "en"] and model.predict([rows[1][1], rows[0][1]])[0] == ["de", "en"]
+    assert langid.trained(table.filter("lang = 'de'"), settings=langid.Settings(longest=400)).languages == ["de"]
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    table = docs(spark, ["some words", "12 34", None]).withColumn("lang", F.lit(None).cast("string"))
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, table, "").collect()] == [0]
+
+
 def test_languages_on_odd_rows(spark, odd):
     model = langid.trained(odd)
     rows = langid.identify(odd, model).collect()
