@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import forest, langid, near_duplicates, packing, pii, prefix_bpe, quality, rank_merge, sharding, templates
+from ledgerspark.llm import centroids, forest, langid, near_duplicates, packing, pii, prefix_bpe, quality, rank_merge, sharding, templates, token_files, whitening
 from ledgerspark.llm.common import table
+from ledgerspark.session import scratch_folder
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("LEDGERSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -67,6 +68,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 9).alias("host_rate"), "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_folder(spark)}/tokens"
+    token_files.write(table(spark, sf_dir, "documents"), path, BYTE_BPE, PATTERN)
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_sharding": op2_sharding,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_html_templates": op8_html_templates,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_token_files": op12_token_files,
+    "op13_centroids": op13_centroids,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"

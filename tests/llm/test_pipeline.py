@@ -8,13 +8,13 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_return_every_row(spark, name):
-    table = {"op3_neighbours": "embeddings", "op8_html_templates": "pages"}.get(name, "documents")
+    table = {"op3_neighbours": "embeddings", "op8_html_templates": "pages", "op11_whitening": "embeddings", "op13_centroids": "embeddings"}.get(name, "documents")
     rows = spark.read.parquet(f"{FOLDER}/{table}.parquet")
     found = QUERIES[name](spark, FOLDER)
-    keys = {"op3_neighbours": ("query_id", "vec_id % 20 = 0", "vec_id"), "op8_html_templates": ("page_id", "true", "page_id")}.get(name, ("doc_id", "true", "doc_id"))
+    keys = {"op3_neighbours": ("query_id", "vec_id % 20 = 0", "vec_id"), "op8_html_templates": ("page_id", "true", "page_id"), "op11_whitening": ("vec_id", "true", "vec_id"), "op13_centroids": ("vec_id", "true", "vec_id")}.get(name, ("doc_id", "true", "doc_id"))
     wanted = sorted(r[0] for r in rows.filter(keys[1]).select(keys[2]).collect())
     got = sorted(r[0] for r in found.select(keys[0]).collect())
-    assert sorted(set(got)) == wanted if name in ("op3_neighbours", "op9_packing") else got == wanted
+    assert sorted(set(got)) == wanted if name in ("op3_neighbours", "op9_packing", "op11_whitening") else got == wanted
 
 
 def test_stages_keep_columns_and_clean_documents(spark):
