@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerspark.functions.text import text_form
-from ledgerspark.schema import IDENTITY_COLUMNS, TRANSACTION_COLUMNS
+from ledgerspark.schema import IDENTITY_COLUMNS, ORIGIN_COLUMN, TRANSACTION_COLUMNS
 from ledgerspark.session import ensure_checkpoint_dir
 
 # Copies of one row are numbered in slices of this size, each its own task input.
@@ -30,18 +30,26 @@ def _identity_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(text_form(F.col(name), data_type), F.lit(missing))
 
 
-def identity_hash(df: DataFrame) -> Column:
-    """Full md5, 32 hex digits, of the six identity fields."""
-    return F.md5(F.concat_ws("|", *[_identity_text(df, name) for name in IDENTITY_COLUMNS]))
+def identity_hash(df: DataFrame, present: dict[str, Column] | None = None) -> Column:
+    """Full md5, 32 hex digits, of the six identity fields.
+
+    ``present`` tells row by row whether a field is there, for tables of rows from different files;
+    fields that aren't named in it are there when the table has them.
+    """
+    texts = []
+    for name in IDENTITY_COLUMNS:
+        text = _identity_text(df, name)
+        texts.append(F.when(present[name], text).otherwise("") if present and name in present else text)
+    return F.md5(F.concat_ws("|", *texts))
 
 
-def with_transaction_id(df: DataFrame, key_column: str | None = None) -> DataFrame:
+def with_transaction_id(df: DataFrame, key_column: str | None = None, present: dict[str, Column] | None = None) -> DataFrame:
     """Add ``Transaction_ID``, ``TXN_`` and eight hex digits.
 
     Eight digits collide once a table holds some 100,000 rows; ``key_column``
     also keeps the full hash, which is the better join key. A projection.
     """
-    digest = identity_hash(df)
+    digest = identity_hash(df, present)
     df = df.withColumn("Transaction_ID", F.concat(F.lit("TXN_"), F.upper(F.substring(digest, 1, 8))))
     if key_column:
         df = df.withColumn(key_column, digest)
@@ -65,10 +73,25 @@ def content_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def content_key(df: DataFrame) -> Column:
+    """What rows of one ID are told apart and ordered by: the md5 of all but the file they came from, then the file."""
+    digest = content_hash(df, [name for name in df.columns if name != ORIGIN_COLUMN])
+    if ORIGIN_COLUMN not in df.columns:
+        return digest
+    return F.concat(digest, F.lit(":"), F.coalesce(F.col(ORIGIN_COLUMN), F.lit("")))
+
+
+def shared_ids(df: DataFrame, key: str, id_column: str = "Transaction_ID") -> DataFrame:
+    """IDs with several owners: how many different values of ``key`` each stands for, and its rows."""
+    owners = F.count_distinct(key).alias("owners")
+    return df.groupBy(id_column).agg(owners, F.count("*").alias("rows")).filter(F.col("owners") > 1)
+
+
 def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFrame:
     """Suffix repeated IDs with ``_1``, ``_2``, …; the first keeps the plain ID.
 
-    "First" is by row content (its md5), so file order and reruns do not matter.
+    "First" is by row content (its md5, then the file), so file order and reruns do not matter.
+    Rows added later may come in between; ``ledger.assign`` numbers them behind what is known.
     Rows are never grouped whole by ID. A count per ID finds the repeated ones,
     and reads the ID column only; contents are then counted for those alone. The
     running index is a sum over these counts; an ID with very many rows is split
@@ -85,7 +108,7 @@ def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFra
     if not sizes.ids:
         return df
 
-    hashed = df.withColumn("__content", content_hash(df, columns))
+    hashed = df.withColumn("__content", content_key(df))
     keys = hashed.select(F.col(id_column).alias("__id"), "__content").join(
         F.broadcast(repeated) if sizes.ids <= BROADCAST_ROWS else repeated, F.col("__id") == F.col("__rid")
     )
@@ -102,13 +125,22 @@ def with_unique_ids(df: DataFrame, id_column: str = "Transaction_ID") -> DataFra
     if found.copied:
         once = numbered.filter(F.coalesce(F.col("__copies"), F.lit(1)) == 1).select(*columns, "__n")
         numbered = once.unionByName(_write_out_copies(joined.filter(F.col("__copies") > 1), columns, id_column))
-    suffixed = F.when(F.col("__n") > 0, F.concat_ws("_", id_column, F.col("__n").cast("string")))
-    return numbered.withColumn(id_column, suffixed.otherwise(F.col(id_column))).select(*columns)
+    return suffixed(numbered, "__n", id_column).select(*columns)
+
+
+def suffixed(df: DataFrame, number: str, id_column: str) -> DataFrame:
+    """The ID with its number behind it; number 0 stays plain."""
+    text = F.when(F.col(number) > 0, F.concat_ws("_", id_column, F.col(number).cast("string")))
+    return df.withColumn(id_column, text.otherwise(F.col(id_column)))
 
 
 def _write_out_copies(copied: DataFrame, columns: list[str], id_column: str) -> DataFrame:
-    """Equal rows, counted and then repeated with consecutive numbers, in slices that spread over tasks."""
-    copied = copied.groupBy(*columns, "__start").agg(F.count("*").alias("__copies"))
+    """Equal rows, counted and then repeated with consecutive numbers."""
+    return write_out(copied.groupBy(*columns, "__start").agg(F.count("*").alias("__copies")), columns, id_column)
+
+
+def write_out(copied: DataFrame, columns: list[str], id_column: str) -> DataFrame:
+    """Each row ``__copies`` times, numbered from ``__start``, in slices that spread over tasks."""
     last_slice = F.expr(f"(__copies - 1) div {COPIES_PER_SLICE}")
     copied = copied.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), last_slice)))
     copied = copied.repartition(id_column, "__start", "__slice")
@@ -120,12 +152,16 @@ def _write_out_copies(copied: DataFrame, columns: list[str], id_column: str) ->
 
 def _start_numbers(keys: DataFrame, split: bool) -> DataFrame:
     """Per (ID, content) of a repeated ID: the first index and the number of copies."""
+    return running_starts(keys.groupBy("__id", "__content", "__rows").agg(F.count("*").alias("__copies")), split)
+
+
+def running_starts(per_content: DataFrame, split: bool) -> DataFrame:
+    """(ID, content, copies, rows of the ID) with the sum of the copies before each content of an ID.
+
+    With ``split``, IDs of many rows are summed in buckets of their contents.
+    """
     bucket = F.when(F.col("__rows") > HOT_ROWS, F.substring("__content", 1, _BUCKET_DIGITS)).otherwise("")
-    per_content = (
-        keys.groupBy("__id", "__content", "__rows")
-        .agg(F.count("*").alias("__copies"))
-        .withColumn("__bucket", bucket if split else F.lit(""))
-    )
+    per_content = per_content.withColumn("__bucket", bucket if split else F.lit(""))
     inside = (
         Window.partitionBy("__id", "__bucket").orderBy("__content").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -8,11 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import dates, numbers, text
-from ledgerspark.schema import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA, Layout
+from ledgerspark.schema import KEY_COLUMN, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA, Layout
 
 DESCRIPTION_PARTS = ("Description_1", "Description_2", "Description_3")
 
 
+def canonical_values(
+    fields: dict[str, Column],
+    layout: Layout,
+    money_type: str = "double",
+    strip_thousands: bool = False,
+) -> dict[str, Column]:
+    """A layout's text fields, by canonical name, as canonical columns in canonical order.
+
+    ``Description`` is always made, and never null; what ``fields`` lacks is left out.
+    """
+    parts = [fields[name] for name in DESCRIPTION_PARTS if name in fields]
+    made: dict[str, Column] = {}
+    for name in TRANSACTION_COLUMNS:
+        if name == "Description":
+            made[name] = text.collapse_whitespace(text.join_non_empty(*parts)) if parts else F.lit("")
+        elif name not in fields:
+            continue
+        elif name in ("Amount", "Balance_After"):
+            made[name] = numbers.parse_decimal_comma(fields[name], strip_thousands).cast(money_type)
+        elif name == "Date":
+            made[name] = dates.parse_date(fields[name], layout.date_formats)
+        elif name == "Sequence_Number":
+            made[name] = numbers.parse_whole_number(fields[name])
+        else:
+            made[name] = fields[name]
+    return made
+
+
 def normalize(
     raw: DataFrame,
     layout: Layout,
@@ -26,30 +54,14 @@ def normalize(
     it prunes the scan to the mapped columns.
     """
     renamed = raw.withColumnsRenamed({k: v for k, v in layout.columns.items() if k in raw.columns})
-    present = set(renamed.columns)
-
-    def money(name: str) -> Column:
-        return numbers.parse_decimal_comma(F.col(name), strip_thousands).cast(money_type)
-
-    parts = [F.col(name) for name in DESCRIPTION_PARTS if name in present]
-    made: dict[str, Column] = {"Description": text.collapse_whitespace(text.join_non_empty(*parts)) if parts else F.lit("")}
-    for name in TRANSACTION_COLUMNS:
-        if name not in present or name == "Description":
-            continue
-        if name in ("Amount", "Balance_After"):
-            made[name] = money(name)
-        elif name == "Date":
-            made[name] = dates.parse_date(F.col(name), layout.date_formats)
-        elif name == "Sequence_Number":
-            made[name] = numbers.parse_whole_number(F.col(name))
-        else:
-            made[name] = F.col(name)
-    return renamed.select(*[made[name].alias(name) for name in TRANSACTION_COLUMNS if name in made])
+    fields = {name: F.col(name) for name in renamed.columns if name in TRANSACTION_COLUMNS or name in DESCRIPTION_PARTS}
+    made = canonical_values(fields, layout, money_type, strip_thousands)
+    return renamed.select(*[value.alias(name) for name, value in made.items()])
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
-    """The canonical columns that exist, in canonical order; others are dropped."""
-    return df.select(*[name for name in TRANSACTION_COLUMNS if name in df.columns])
+    """The canonical columns that exist, in canonical order, and the full key; others are dropped."""
+    return df.select(*[name for name in [*TRANSACTION_COLUMNS, KEY_COLUMN] if name in df.columns])
 
 
 def union_tables(tables: list[DataFrame]) -> DataFrame:

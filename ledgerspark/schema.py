@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Names and types of the canonical table, in order.
 TRANSACTION_SCHEMA = T.StructType(
     [
         T.StructField("Transaction_ID", T.StringType()),
@@ -29,6 +30,13 @@ TRANSACTION_SCHEMA = T.StructType(
 )
 TRANSACTION_COLUMNS = TRANSACTION_SCHEMA.fieldNames()
 
+# The file a row came from; it says nothing about what the row is.
+ORIGIN_COLUMN = "Source_File"
+
+# The full hash of a transaction, 32 hex digits: the key to join by, as the short ID can have several owners.
+KEY_COLUMN = "Transaction_Key"
+
+# Names of the label store's columns, in order.
 LABEL_SCHEMA = T.StructType(
     [
         T.StructField("Transaction_ID", T.StringType()),
@@ -39,10 +47,14 @@ LABEL_SCHEMA = T.StructType(
     ]
 )
 
-# The six columns that make up a transaction's identity, in hashing order.
+KEY_FIELD = T.StructField(KEY_COLUMN, T.StringType())
+KEYED_TRANSACTION_SCHEMA = T.StructType([*TRANSACTION_SCHEMA.fields, KEY_FIELD])
+KEYED_LABEL_SCHEMA = T.StructType([*LABEL_SCHEMA.fields, KEY_FIELD])
+
+# The six columns that make up a transaction's identity, in hashing order.
 IDENTITY_COLUMNS = ["Date", "Amount", "Description", "Counterparty_Name", "Account_Number", "Sequence_Number"]
 
-# Columns a rule may name. A field that the table lacks never matches.
+# Columns a rule may name. A field that the table lacks never matches.
 RULE_FIELDS = [
     "Date",
     "Amount",

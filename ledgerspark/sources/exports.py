@@ -1,24 +1,25 @@
 """Bank export files: discovery, probing, reading, and what was left out.
 
-Export files differ in encoding, header and quoting, so a first pass looks at
-every file as lines, spread over the cluster and without decoding. It yields one
-small row per file; files that are alike are then read together.
+Export files differ in encoding, header and quoting. A first pass over their lines gives one small row
+per file, which stays in Spark; a second pass reads all files in one scan, joins each record to its file's row and
+picks the fields by the places that the file's header has for them.
 """
 
 from __future__ import annotations
 
 import csv
-import re
 from dataclasses import dataclass
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import ledger as ledgers
 from ledgerspark.operators.identity import with_transaction_id, with_unique_ids
-from ledgerspark.operators.normalize import canonical_columns, empty_transactions, normalize, union_tables
-from ledgerspark.schema import LAYOUTS, Layout
+from ledgerspark.operators.normalize import canonical_columns, canonical_values, normalize
+from ledgerspark.schema import IDENTITY_COLUMNS, KEY_COLUMN, LAYOUTS, ORIGIN_COLUMN, TRANSACTION_COLUMNS, Layout
 from ledgerspark.session import scratch_folder
+from ledgerspark.sources import tables
+from ledgerspark.sources.records import LONGEST_RECORD, blocks_of, files_of, lines_of, records_of
 
 EXPORT_FILES = "*.{csv,CSV}"
 # Texts the usual table readers take for a missing value.
@@ -26,43 +27,13 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-_OVERFLOW = "__overflow"
 
 
 def probe_files(spark: SparkSession, folder: str, pattern: str = EXPORT_FILES) -> DataFrame:
-    """Per export file below the folder: path, encoding, header, and whether a quoted field spans lines.
-
-    Bytes are checked line by line, which is the same as checking the file, since
-    no UTF-8 sequence holds a line feed; so files of any size stay splittable.
-    """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(folder)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            (F.col("_metadata.file_block_start") == 0).alias("at_start"),
-            F.monotonically_increasing_id().alias("line"),
-        )
-    )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    first_line = F.min_by("value", F.when(F.col("at_start"), F.col("line")))
-    return (
-        lines.groupBy("path")
-        .agg(
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-            F.bool_or(quotes % 2 == 1).alias("multi_line"),
-            first_line.alias("first_line"),
-        )
-        .select(
-            "path",
-            F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-            "multi_line",
-            F.when(F.col("utf8"), F.make_valid_utf8("first_line"))
-            .otherwise(F.decode(F.col("first_line").cast("binary"), "ISO-8859-1"))
-            .alias("header"),
-        )
+    """Per export file below the folder: path, encoding, header line, and whether a quoted field spans lines."""
+    lines = lines_of(spark, folder, pattern)
+    return files_of(lines, blocks_of(lines)).select(
+        "path", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), "multi_line", F.col("first_line").alias("header")
     )
 
 
@@ -87,6 +58,8 @@ def load_exports(
     money_type: str = "double",
     strip_thousands: bool = False,
     staging: str | None = None,
+    keyed: bool = False,
+    ledger: str | None = None,
 ) -> ExportLoad:
     """All export files below a folder as one canonical table with IDs.
 
@@ -95,54 +68,116 @@ def load_exports(
 
     Making IDs unique reads the table more than once, so the parsed rows are
     first written as Parquet to ``staging`` (a new folder beside the checkpoints
-    by default); the result reads from there.
+    by default); the result reads from there. ``keyed`` keeps the full hash, made unique in the same way, as
+    ``Transaction_Key``. ``ledger`` is the folder of a ledger of given suffixes: IDs known from earlier
+    loads stay, and those that this load adds are put there.
     """
-    groups: dict[tuple, list[str]] = {}
-    probed = probe_files(spark, folder).collect()
-    with_lines = {_bare(file.path) for file in probed}
-    listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", EXPORT_FILES).text(folder).inputFiles()
-    rejected: list[tuple[str, str]] = [(path, "empty file") for path in listed if _bare(path) not in with_lines]
-    for file in probed:
-        header = parse_header(file.header or "")
-        layout = next((known for known in layouts if known.accepts(header)), None)
-        if layout is None:
-            rejected.append((file.path, "no known layout"))
-        elif len(set(header)) != len(header):
-            rejected.append((file.path, "repeated column names"))
-        else:
-            groups.setdefault((layouts.index(layout), tuple(header), file.encoding, file.multi_line), []).append(file.path)
-
-    tables, overfull = [], []
-    for (place, header, encoding, multi_line), paths in groups.items():
-        raw = _read_alike(spark, paths, header, encoding, multi_line)
-        overfull.append(
-            raw.filter(F.col(_OVERFLOW).isNotNull()).select(
-                "Source_File", F.to_json(F.struct(*[F.col(f"`{name}`") for name in header], _OVERFLOW)).alias("row")
-            )
-        )
-        # Hashed before the union, where a column that a layout lacks would become one of nulls.
-        table = normalize(raw.filter(F.col(_OVERFLOW).isNull()), layouts[place], money_type, strip_thousands)
-        tables.append(with_transaction_id(table))
-
-    transactions = union_tables(tables) if tables else empty_transactions(spark)
-    if unique_ids and tables:
-        staging = staging or scratch_folder(spark)
-        transactions.write.parquet(staging)
-        transactions = with_unique_ids(spark.read.schema(transactions.schema).parquet(staging))
-    no_rows = spark.createDataFrame([], "Source_File string, row string")
-    rejected_rows = no_rows
-    for table in overfull:
-        rejected_rows = rejected_rows.unionByName(table)
+    lines = lines_of(spark, folder, EXPORT_FILES)
+    base = staging or scratch_folder(spark)
+    blocks_of(lines).write.parquet(f"{base}/blocks")
+    blocks = spark.read.parquet(f"{base}/blocks")
+    _classified(files_of(lines, blocks), layouts).write.parquet(f"{base}/files")
+    files = spark.read.parquet(f"{base}/files")
+    good = files.filter("reason IS NULL")
+    # One row: how many fields the longest header has, and what columns there are in any file.
+    seen = good.agg(
+        F.max(F.size("header")).alias("width"), F.bool_or("multi_line").alias("multi_line"),
+        *[F.bool_or(f"has.{name}").alias(name) for name in TRANSACTION_COLUMNS],
+    ).first()
+
+    records = records_of(lines, blocks, good, f"{base}/lines" if seen.multi_line else None)
+    parsed = _parsed(records, good, seen.width or 1, layouts, money_type, strip_thousands)
+    parsed.write.parquet(f"{base}/rows")
+    rows = spark.read.schema(parsed.schema).parquet(f"{base}/rows")
+    rejected = rows.filter("reason IS NOT NULL")
+    transactions = rows.filter("reason IS NULL").drop("reason", "row")
+    present = [name for name in TRANSACTION_COLUMNS if seen.width is None or name in ("Transaction_ID", "Description", ORIGIN_COLUMN) or seen[name]]
+    transactions = transactions.select(*present, *([KEY_COLUMN] if keyed else []))
+    if unique_ids and seen.width is not None:
+        for column in ([KEY_COLUMN] if keyed else []) + ["Transaction_ID"]:
+            transactions = _made_unique(transactions, column, ledger)
+    rejected_files = _without_lines(lines, files).unionByName(files.filter("reason IS NOT NULL").select("path", "reason"))
     return ExportLoad(
         transactions=canonical_columns(transactions),
-        rejected_files=spark.createDataFrame(rejected, "path string, reason string"),
-        rejected_rows=rejected_rows,
+        rejected_files=rejected_files,
+        rejected_rows=rejected.select(ORIGIN_COLUMN, "row", "reason"),
     )
 
 
-def _bare(path: str) -> str:
-    """A file path without the slashes that listings put in differently."""
-    return re.sub(r"^(\w+):/+", r"\1:/", path)
+def _without_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of Spark's own listing that no line came from. Scans skip empty files, so only the listing shows them."""
+    listed = lines.sparkSession.createDataFrame([(path,) for path in lines.inputFiles()], "path string")
+    bare = lambda path: F.regexp_replace(path, r"^(\w+):/+", "$1:/")  # noqa: E731  listings differ in slashes
+    return listed.join(files.select(bare("path").alias("known")), bare(listed["path"]) == F.col("known"), "left_anti").select("path", F.lit("empty file").alias("reason"))
+
+
+def _made_unique(transactions: DataFrame, column: str, ledger: str | None) -> DataFrame:
+    if ledger is None:
+        return with_unique_ids(transactions, column)
+    base = f"{ledger}/{column}"
+    assigned = ledgers.assign(transactions, tables.read_segments(transactions.sparkSession, base, ledgers.LEDGER_SCHEMA), column)
+    tables.append_segment(assigned.additions, base)
+    return assigned.rows
+
+
+def _source_names(layouts: tuple[Layout, ...]) -> list[str]:
+    return list(dict.fromkeys(name for layout in layouts for name in layout.columns))
+
+
+def _classified(files: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
+    """Files with their layout's number, the place of each known heading (0: none), the canonical columns they have, or a reason to reject them."""
+
+    def holds(name: str) -> Column:
+        return F.array_contains("header", F.lit(name))
+
+    def has(canonical: str) -> Column:
+        found = F.lit(False)
+        for layout_number, layout in enumerate(layouts):
+            for name, target in layout.columns.items():
+                if target == canonical:
+                    found = found | ((F.col("layout") == layout_number) & holds(name))
+        return found.alias(canonical)
+
+    numbers = [F.when(F.forall(F.array(*[F.lit(r) for r in known.required]), lambda r: F.array_contains("header", r)), F.lit(i)) for i, known in enumerate(layouts)]
+    repeated = F.size(F.array_distinct("header")) != F.size("header")
+    reason = F.when(F.col("layout").isNull(), "no known layout").when(repeated, "repeated column names")
+    places = F.array(*[F.array_position("header", F.lit(name)).cast("int") for name in _source_names(layouts)])
+    return files.drop("first_line").withColumn("layout", F.coalesce(*numbers)).select(
+        "*", reason.alias("reason"), places.alias("places"), F.struct(*[has(name) for name in TRANSACTION_COLUMNS]).alias("has")
+    )
+
+
+def _parsed(records: DataFrame, files: DataFrame, width: int, layouts: tuple[Layout, ...], money_type: str, strip_thousands: bool) -> DataFrame:
+    """Records as canonical rows with IDs and the full key; reason and row (the text) tell of rejected ones.
+
+    All files are parsed alike, into as many text fields as the longest header has and one more; what a
+    field means is looked up in the places that its file's row holds.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(width + 1))
+    names = _source_names(layouts)
+    about = files.select("path", "layout", "places", "has", F.size("header").alias("fields"))
+    split = records.join(about, "path").withColumn("c", F.from_csv("text", schema, {"escape": '"', "mode": "PERMISSIVE"}))
+    values = F.array(*[F.col(f"c.c{i}") for i in range(width + 1)])
+    split = split.withColumn("values", values)
+    overfull = F.exists(F.slice("values", F.col("fields") + 1, width + 1), lambda v: v.isNotNull())
+    reason = F.when(F.col("too_long"), f"record of more than {LONGEST_RECORD} characters").when(overfull, "more fields than the header")
+    named = split.select(
+        "layout", "has", F.coalesce(reason, F.lit(None).cast("string")).alias("reason"), F.when(reason.isNotNull(), F.col("text")).alias("row"), _file_name(F.col("path")).alias(ORIGIN_COLUMN),
+        *[F.try_element_at("values", F.nullif(F.col("places")[i], F.lit(0))).alias(f"v{i}") for i in range(len(names))],
+    )
+    known = {name: F.when(~F.col(f"v{i}").isin(*MISSING_TEXTS), F.col(f"v{i}")) for i, name in enumerate(names)}
+    made: dict[str, Column] = {}
+    for number, layout in enumerate(layouts):
+        fields = {target: known[name] for name, target in layout.columns.items()}
+        for name, value in canonical_values(fields, layout, money_type, strip_thousands).items():
+            own = F.when(F.col("layout") == number, value)
+            made[name] = F.coalesce(made[name], own) if name in made else own
+    for name in TRANSACTION_COLUMNS[1:-1]:
+        made.setdefault(name, F.lit(None).cast("string"))
+    table = named.select(*[made[name].alias(name) for name in TRANSACTION_COLUMNS[1:-1]], ORIGIN_COLUMN, "reason", "row", "has")
+    # A field that a file doesn't have counts as absent, whatever files are loaded beside it.
+    present = {name: F.col(f"has.{name}") for name in IDENTITY_COLUMNS if name != "Description"}
+    return with_transaction_id(table, KEY_COLUMN, present).drop("has")
 
 
 def load_table(
@@ -155,29 +190,7 @@ def load_table(
     return with_transaction_id(normalize(raw, layout, **normalize_options))
 
 
-def _file_name():
-    """The metadata column is URI-encoded, where a plus sign stands for itself."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-
-
-def _literal_path(path: str) -> str:
-    """A file path from the metadata column, which is URI-encoded, as a path without wildcards."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
-
-
-def _read_alike(spark, paths, header, encoding, multi_line) -> DataFrame:
-    """Files of one header, encoding and quoting style, all columns as text."""
-    schema = ", ".join(f"`{name}` string" for name in [*header, _OVERFLOW])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv([_literal_path(path) for path in paths])
-    )
-    values = [
-        F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`")).alias(name) for name in header
-    ]
-    return raw.select(*values, _OVERFLOW, _file_name().alias("Source_File"))
+def _file_name(path: Column | None = None) -> Column:
+    """The name of a row's file; metadata columns are URI-encoded, where a plus sign stands for itself."""
+    name = F.col("_metadata.file_name") if path is None else F.substring_index(path, "/", -1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))

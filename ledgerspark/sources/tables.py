@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.operators.normalize import with_year
-from ledgerspark.schema import LABEL_SCHEMA, TRANSACTION_SCHEMA
+from ledgerspark.schema import KEYED_LABEL_SCHEMA, KEYED_TRANSACTION_SCHEMA, LABEL_SCHEMA, TRANSACTION_SCHEMA
 
 APP_VERSION = "1.0"
 MANIFEST = "manifest"
@@ -37,12 +37,13 @@ def table_status(spark: SparkSession, path: str) -> str:
     return "Available" if path_exists(spark, path) else "Not Found"
 
 
-def read_labels(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """The label store; empty when there is none yet."""
+def read_labels(spark: SparkSession, path: str, file_format: str = "parquet", keyed: bool = False) -> DataFrame:
+    """The label store, with full keys if it was written with them; empty when there is none yet."""
+    schema = KEYED_LABEL_SCHEMA if keyed else LABEL_SCHEMA
     if not path_exists(spark, path):
-        return spark.createDataFrame([], LABEL_SCHEMA)
+        return spark.createDataFrame([], schema)
     options = CSV_OPTIONS if file_format == "csv" else {}
-    return spark.read.schema(LABEL_SCHEMA).options(**options).format(file_format).load(path)
+    return spark.read.schema(schema).options(**options).format(file_format).load(path)
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -67,9 +68,9 @@ def write_transactions(df: DataFrame, path: str) -> None:
     with_year(df).hint("rebalance", F.col("Year")).sortWithinPartitions("Year", "Date").write.partitionBy("Year").parquet(path)
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """The default store, with its Year column; empty when absent."""
-    schema = T.StructType([*TRANSACTION_SCHEMA.fields, T.StructField("Year", T.IntegerType())])
+def read_transactions(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """The default store, with its Year column, and full keys if it was written with them; empty when absent."""
+    schema = T.StructType([*(KEYED_TRANSACTION_SCHEMA if keyed else TRANSACTION_SCHEMA).fields, T.StructField("Year", T.IntegerType())])
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
@@ -101,6 +102,21 @@ def read_latest(spark: SparkSession, base: str, schema: T.StructType | str) -> D
     return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
 
 
+def append_segment(df: DataFrame, base: str, now: dt.datetime | None = None) -> str:
+    """Add rows to a table that only grows, as a folder of their own; what is there already isn't touched."""
+    path = f"{base}/segment={(now or dt.datetime.now()).strftime('%Y%m%d_%H%M%S_%f')}"
+    df.write.parquet(path)
+    return path
+
+
+def read_segments(spark: SparkSession, base: str, schema: T.StructType | str) -> DataFrame:
+    """All segments that were written to their end; empty when there are none."""
+    system, hadoop_path = _file_system(spark, base)
+    names = sorted(status.getPath().getName() for status in system.listStatus(hadoop_path)) if system.exists(hadoop_path) else []
+    paths = [f"{base}/{name}" for name in names if name.startswith("segment=") and path_exists(spark, f"{base}/{name}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def create_backup(
     spark: SparkSession,
     folder: str,
