@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import arrow_map, as_texts
-from ledgerspark.llm.packing import text_ids
+from ledgerspark.llm.bulk_ids import ended_ids
+from ledgerspark.llm.common import arrow_map
 
 
 @dataclass(frozen=True)
@@ -71,20 +71,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     empty table gives an empty folder; repeated rows are documents of their own; other columns are not read.
     """
     kinds = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", docs.schema[key].dataType), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    last = end_id.to_bytes(4, "little")
     written: dict[tuple[int, int], int] = {}
 
     def encode(batch: pa.RecordBatch) -> list:
         task = TaskContext.get()
         shard = task.partitionId()
         begun = written.pop((task.stageId(), task.taskAttemptId()), 0)
-        data = [x + last for x in text_ids(as_texts(batch.column(1)), tokenizer, pattern)]
-        ends = np.cumsum([len(x) // 4 for x in data])
-        starts = np.r_[0, ends[:-1]]
+        ids, counts = ended_ids(batch.column(1), tokenizer, pattern, end_id)
+        ends = np.cumsum(counts)
         written[task.stageId(), task.taskAttemptId()] = begun + int(ends[-1])
-        ids = pa.array(np.frombuffer(b"".join(data), "<i4"))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), ids)
-        return [pa.array(np.full(len(data), shard, np.int32)), batch.column(0), pa.array(begun + starts), pa.array(ends - starts), lists]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
+        return [pa.array(np.full(len(counts), shard, np.int32)), batch.column(0), pa.array(begun + ends - counts), pa.array(counts), lists]
 
     arrow_map(in_order(docs, key, text), encode, kinds).write.options(**layout.options()).parquet(f"{path}/tokens")
     spark = docs.sparkSession

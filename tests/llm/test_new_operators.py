@@ -190,6 +190,24 @@ def test_token_files_hold_the_ids_in_order(spark, texts, tmp_path, encoding):
     assert sorted(tuple(r) for r in token_files.digests(some).collect()) == [w for w in wanted if 300 <= w[0] <= 400]
 
 
+def test_bulk_ids_agree_with_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from ledgerspark.llm import bulk_ids
+
+    library, draw = Tokenizer.from_file(BYTE_BPE), np.random.default_rng(4)
+    parts = [" ", " ", " ", "a", "b.", "word", "don't", "'s", ".", ",", "\n", "\t", "  ", "é", "日本", "<|endoftext|>", "1", "½", "%%", "\u00a0", "\u2003", "x" * 20]
+    texts = ["".join(draw.choice(parts, draw.integers(0, 15))) for _ in range(4000)]
+    texts[7] = None
+    # Few chunks are remembered, and steps are short, so that both are renewed.
+    monkeypatch.setattr(bulk_ids, "CHUNKS", 300)
+    monkeypatch.setattr(bulk_ids, "STEP_BYTES", 2000)
+    ids, counts = bulk_ids.ended_ids(pa.array(texts), BYTE_BPE, PATTERN, 2)
+    wanted = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
 def test_token_files_of_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string"
     path = str(tmp_path / "none")
