@@ -13,7 +13,7 @@ from ledgerspark.functions import dates
 from ledgerspark.functions.numbers import parse_float, percent
 from ledgerspark.functions.text import shorten
 from ledgerspark.operators.conditions import ALL_OPERATORS
-from ledgerspark.operators.labels import latest_per_key, merge_by_key
+from ledgerspark.operators.labels import latest_per_key, merge_by_key, one_per_key
 from ledgerspark.operators.paging import numbered
 from ledgerspark.operators.rules import DEFAULT_PRIORITY
 from ledgerspark.schema import RULE_FIELDS
@@ -352,15 +352,15 @@ def known_names(changes: DataFrame, table: DataFrame, keys: list[str]) -> DataFr
 
 
 def insert_new(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Add rows with new names; those with a known name are refused. One row per key in ``changes``."""
-    fresh = changes.join(table.select(*keys), keys, "left_anti")
+    """Add rows with new names; those with a known name are refused. Of several rows of one key the greatest is added."""
+    fresh = one_per_key(changes, keys).join(table.select(*keys), keys, "left_anti")
     return table.unionByName(fresh, allowMissingColumns=True).select(*table.columns)
 
 
 def update_rows(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Overwrite the columns of ``changes`` (one row per key) in the rows that exist."""
+    """Overwrite the columns of ``changes`` in the rows that exist. Of several rows of one key the greatest counts."""
     rest = [name for name in changes.columns if name not in keys]
-    renamed = changes.select(*keys, F.struct(*rest).alias("__new"))
+    renamed = one_per_key(changes, keys).select(*keys, F.struct(*rest).alias("__new"))
     joined = table.join(renamed, keys, "left")
     return joined.select(*[
         F.when(F.col("__new").isNotNull(), F.col(f"__new.{name}")).otherwise(F.col(name)).alias(name)
@@ -467,4 +467,4 @@ def upsert_rules(rules: DataFrame, changes: DataFrame, now: str, user: str = "us
         "last_modified_at": F.lit(None),
         "last_modified_by": F.lit(None),
     })
-    return merge_by_key(rules, ["id"], updates.unionByName(insertions))
+    return merge_by_key(rules, ["id"], updates.unionByName(insertions), reduced=True)

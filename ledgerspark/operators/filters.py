@@ -67,12 +67,12 @@ def by_period(df: DataFrame, which: str | None, as_of=None) -> DataFrame:
     return kept
 
 
-def by_label(df: DataFrame, labels: DataFrame, mode: str = "uncategorized") -> DataFrame:
+def by_label(df: DataFrame, labels: DataFrame, mode: str = "uncategorized", key: str = "Transaction_ID") -> DataFrame:
     """Transactions without a label, with one, or all of them."""
     if mode == "all":
         return df
     how = {"uncategorized": "left_anti", "categorized": "left_semi"}[mode]
-    return df.join(labels.select("Transaction_ID"), "Transaction_ID", how)
+    return df.join(labels.select(key), key, how).select(*df.columns)
 
 
 def categorized_only(df: DataFrame) -> DataFrame:
@@ -115,9 +115,9 @@ def search_cards(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
-def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
+def with_labels(df: DataFrame, labels: DataFrame, key: str = "Transaction_ID") -> DataFrame:
     """Each transaction with its category, subcategory and source, null when unlabelled."""
-    return df.join(labels.select("Transaction_ID", "Category", "Subcategory", "Source"), "Transaction_ID", "left")
+    return df.join(labels.select(key, "Category", "Subcategory", "Source"), key, "left")
 
 
 def lookup(df: DataFrame, transaction_id: str) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import dates, numbers, text
-from ledgerspark.operators import analytics, catalog, conditions, filters, identity, labels, matching, normalize, paging
+from ledgerspark.operators import analytics, catalog, conditions, filters, identity, labels, ledger, matching, normalize, paging
 from ledgerspark.operators.rules import Rule, RuleSet
 from ledgerspark.plans.demo import DEMO_RULES, both, either, leaf, wide_rules
 from ledgerspark.plans.views import Views, with_views
-from ledgerspark.schema import LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS
+from ledgerspark.schema import KEY_COLUMN, LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
 from ledgerspark.session import scratch_folder
 from ledgerspark.sources import documents, exports, tables
 
@@ -193,6 +194,43 @@ def _(v):
     return identity.with_unique_ids(_line_keys(v))
 
 
+def _line_exports(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Lines shipped before 1995 as they were exported first, and a later export of all lines, whose file name sorts before."""
+    lines = _line_keys(v)
+    first = lines.filter("l_shipdate < '1995-01-01'").withColumn("Source_File", F.lit("export-b.csv"))
+    return first, lines.withColumn("Source_File", F.lit("export-a.csv"))
+
+
+_REEXPORTED = f"""{_LINE_KEYS}, exported AS (
+  SELECT *, 'export-b.csv' AS Source_File, 1 AS load FROM line_keys WHERE l_shipdate < '1995-01-01'
+  UNION ALL SELECT *, 'export-a.csv', 2 FROM line_keys)"""
+
+
+@query(
+    "txn_id_after_reexport",
+    f"""SELECT CASE WHEN n = 0 THEN id ELSE id || '_' || n END AS Transaction_ID, l_partkey, l_suppkey, l_shipdate,
+       l_returnflag, l_linestatus, Source_File
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load, md5({_LINE_CONTENT})) - 1 AS n FROM exported)""",
+    also=_REEXPORTED,
+)
+def _(v):
+    first, second = _line_exports(v)
+    base = f"{scratch_folder(v.spark)}/ledger"
+    tables.append_segment(ledger.assign(first, tables.read_segments(v.spark, base, ledger.LEDGER_SCHEMA)).additions, base)
+    return ledger.assign(first.unionByName(second), tables.read_segments(v.spark, base, ledger.LEDGER_SCHEMA)).rows
+
+
+@query(
+    "txn_id_owners",
+    f"""SELECT id AS Transaction_ID, count(DISTINCT md5({_LINE_CONTENT})) AS owners, count(*) AS rows FROM line_keys
+GROUP BY id HAVING count(DISTINCT md5({_LINE_CONTENT})) > 1""",
+    also=_LINE_KEYS,
+)
+def _(v):
+    lines = _line_keys(v)
+    return identity.shared_ids(lines.withColumn(KEY_COLUMN, identity.content_key(lines)), KEY_COLUMN)
+
+
 # --- Leaf operators ----------------------------------------------------------
 
 
@@ -581,6 +619,92 @@ def _(v):
     return demo_effective(v)
 
 
+# --- Labels by full key ------------------------------------------------------
+
+_KEYED = f"""{CATEGORIZED}, keyed AS (SELECT * REPLACE ('TXN_' || upper(substr(md5({_ID_TEXT}), 1, 8)) AS Transaction_ID), md5({_ID_TEXT}) AS Transaction_Key,
+         Description LIKE 'order 4-%' AS by_hand FROM categorized),
+marked AS (SELECT Transaction_ID, Transaction_Key, Date, Amount, Description, by_hand,
+    CASE WHEN by_hand THEN CASE WHEN Sequence_Number % 170 = 0 THEN '  ' WHEN Sequence_Number % 2 = 0 THEN 'Travel' ELSE 'Home' END
+         ELSE nullif(Category, '') END AS Category,
+    CASE WHEN by_hand THEN 'Other' WHEN Category <> '' THEN Subcategory END AS Subcategory,
+    CASE WHEN by_hand THEN 'Manual' WHEN Category <> '' THEN Categorization_Source END AS Source FROM keyed)"""
+
+
+def keyed_transactions(v: Views) -> DataFrame:
+    return identity.with_transaction_id(v.txn_orders.drop("Transaction_ID"), key_column=KEY_COLUMN)
+
+
+def keyed_labels(v: Views) -> DataFrame:
+    """The manual labels of the view, written for full keys."""
+    chosen = keyed_transactions(v).filter(F.startswith("Description", F.lit("order 4-")))
+    category = F.when(F.col("Sequence_Number") % 170 == 0, "  ").when(F.col("Sequence_Number") % 2 == 0, "Travel").otherwise("Home")
+    named = chosen.select("Transaction_ID", KEY_COLUMN, category.alias("Category"), F.lit("Other").alias("Subcategory"))
+    return labels.label_rows(named, "2024-01-01 00:00:00")
+
+
+def keyed_marked(v: Views) -> DataFrame:
+    return labels.overlay(matching.categorize(keyed_transactions(v), DEMO_RULES), keyed_labels(v), key=KEY_COLUMN)
+
+
+@query(
+    "search_description_keyed",
+    """SELECT Transaction_ID, Transaction_Key, Description, Category, Subcategory, Source FROM marked
+WHERE regexp_matches(Description, '(?i)[13]-.*hold|4-not')""",
+    "txn_orders", also=_KEYED,
+)
+def _(v):
+    found = filters.search_description(keyed_marked(v), "[13]-.*hold|4-not")
+    return found.select("Transaction_ID", KEY_COLUMN, "Description", "Category", "Subcategory", "Source")
+
+
+@query(
+    "transaction_status_keyed",
+    "SELECT Transaction_Key, CASE WHEN trim(Category) <> '' THEN 'Categorized' ELSE 'Uncategorized' END AS Status FROM marked",
+    "txn_orders", also=_KEYED,
+)
+def _(v):
+    return keyed_marked(v).select(KEY_COLUMN, "Status")
+
+
+@query(
+    "effective_labels_keyed",
+    """SELECT Transaction_ID, Category, Subcategory, CASE WHEN by_hand THEN '2024-01-01 00:00:00' ELSE '{as_of}' END AS Date_Categorized, Source, Transaction_Key
+FROM marked WHERE Category IS NOT NULL""".replace("{as_of}", RULES_AS_OF),
+    "txn_orders", also=_KEYED,
+)
+def _(v):
+    return labels.effective_labels(matching.categorize(keyed_transactions(v), DEMO_RULES), keyed_labels(v), RULES_AS_OF, key=KEY_COLUMN)
+
+
+@query(
+    "label_upsert_keyed",
+    """SELECT Transaction_ID, Transaction_Key, CASE WHEN Amount > 0 THEN 'Health' ELSE Category END AS Category, 'Other' AS Subcategory,
+       CASE WHEN Amount > 0 THEN '2024-02-01 08:00:00' ELSE '2024-01-01 00:00:00' END AS Date_Categorized, 'Manual' AS Source
+FROM marked WHERE by_hand AND Amount <> 0""",
+    "txn_orders", also=_KEYED,
+)
+def _(v):
+    changes = filters.by_amount(keyed_transactions(v), "income").filter(F.startswith("Description", F.lit("order 4-")))
+    changes = changes.select("Transaction_ID", KEY_COLUMN, F.lit("Health").alias("Category"), F.lit("Other").alias("Subcategory"))
+    path = f"{scratch_folder(v.spark)}/labels"
+    keyed_labels(v).write.parquet(path)
+    stored = tables.read_labels(v.spark, path, keyed=True)
+    return labels.upsert_labels(stored, labels.label_rows(changes, "2024-02-01 08:00:00"), key=KEY_COLUMN)
+
+
+@query(
+    "labels_given_keys",
+    """SELECT l.Transaction_ID, l.Category, CASE WHEN o.n IS NULL THEN 'unknown' WHEN o.n > 1 THEN 'ambiguous' ELSE o.k END AS found
+FROM (SELECT Transaction_ID, Category FROM marked WHERE by_hand) l
+JOIN (SELECT Transaction_ID, count(DISTINCT Transaction_Key) AS n, min(Transaction_Key) AS k FROM marked GROUP BY 1) o USING (Transaction_ID)""",
+    "txn_orders", also=_KEYED,
+)
+def _(v):
+    found = labels.with_keys(keyed_labels(v), keyed_transactions(v))
+    parts = [found.labels.withColumn("found", F.col(KEY_COLUMN)), found.ambiguous.withColumn("found", F.lit("ambiguous")), found.unknown.withColumn("found", F.lit("unknown"))]
+    return reduce(DataFrame.unionAll, [p.select("Transaction_ID", "Category", "found") for p in parts])
+
+
 # --- Analytics ---------------------------------------------------------------
 
 
@@ -1142,6 +1266,151 @@ def _(v):
     )
 
 
+def _id_of(date: str, amount: str, rest: str) -> str:
+    return f"""coalesce(strftime({date}, '%Y-%m-%d %H:%M:%S'), 'NaT') || '|' || coalesce(cast({amount} AS varchar), 'nan') || '|' || {rest}"""
+
+
+# Layout A's test export has no counterparty and layout B's no sequence number either: absent fields are empty.
+_IDENTIFIED = f"""{UNITED}, identified AS (
+  SELECT 'a' AS origin, *, md5({_id_of("Date", "Amount", "Description || '||' || Account_Number || '|' || cast(Sequence_Number AS varchar)")}) AS Transaction_Key FROM norm_a
+  UNION ALL BY NAME
+  SELECT 'b' AS origin, *, md5({_id_of("Date", "Amount", "Description || '||' || Account_Number || '|'")}) AS Transaction_Key FROM norm_b)"""
+
+
+def _origin():
+    """The name that the files of a part were given."""
+    return F.regexp_extract("Source_File", r"^(\w+)-[0-9]+\.csv$", 1).alias("origin")
+
+
+def write_test_exports(v: Views, a: DataFrame | None = None) -> str:
+    """Both layouts as CSV files of different names and encodings; returns their folder."""
+    folder = scratch_folder(v.spark)
+    a = raw_export_a(v) if a is None else a
+    parts = {"a/old": a.filter("Datum < '1995-01-01'"), "a/new": a.filter("Datum >= '1995-01-01'"), "b": raw_export_b(v)}
+    for place, rows in parts.items():
+        tables.write_csv(rows, f"{folder}/{place}", encoding="UTF-8" if place == "a/new" else "ISO-8859-1")
+        tables.name_parts(v.spark, f"{folder}/{place}", place[0])
+    return folder
+
+
+@query(
+    "txn_id_mixed_load",
+    """SELECT 'TXN_' || upper(substr(Transaction_Key, 1, 8)) AS Transaction_ID, Transaction_Key, origin FROM identified""",
+    "raw_a", "raw_b", also=_IDENTIFIED,
+)
+def _(v):
+    load = exports.load_exports(v.spark, write_test_exports(v), unique_ids=False, keyed=True)
+    return load.transactions.select("Transaction_ID", KEY_COLUMN, _origin())
+
+
+_LOADED = ["Date", "Amount", "Description", "Account_Number", "Currency", "Sequence_Number"]
+_ACCENTED = UNITED.replace("nullif(oms1, '')", "nullif('Crédit ë ' || oms1, '')").replace("regexp_replace(oms,", "regexp_replace('naïf ' || oms,")
+_LINES = UNITED.replace("nullif(oms1, '')", """nullif(oms1 || chr(10) || ' "quoted", ' || chr(10) || chr(10) || oms1, '')""")
+_BY_ORIGIN = """SELECT Date, Amount, Description, Account_Number, Currency, Sequence_Number,
+       CASE WHEN Sequence_Number IS NULL THEN 'b' ELSE 'a' END AS origin FROM united"""
+
+
+@query("scan_mixed_encodings", _BY_ORIGIN, "raw_a", "raw_b", also=_ACCENTED)
+def _(v):
+    folder = scratch_folder(v.spark)
+    a = raw_export_a(v).withColumn("Omschrijving-1", F.concat(F.lit("Crédit ë "), "Omschrijving-1"))
+    b = raw_export_b(v).withColumn("Omschrijving", F.concat(F.lit("naïf "), "Omschrijving"))
+    # The heading itself has an accent; older exports of layout A and all of B are in the other encoding.
+    a = a.withColumn("Naam initiërende partij", F.lit(None).cast("string"))
+    parts = {"a/old": a.filter("Datum < '1995-01-01'"), "a/new": a.filter("Datum >= '1995-01-01'"), "b": b}
+    for place, rows in parts.items():
+        tables.write_csv(rows, f"{folder}/{place}", encoding="UTF-8" if place == "a/new" else "ISO-8859-1")
+        tables.name_parts(v.spark, f"{folder}/{place}", place[0])
+    return exports.load_exports(v.spark, folder).transactions.select(*_LOADED, _origin())
+
+
+@query("scan_multiline_csv", _BY_ORIGIN, "raw_a", "raw_b", also=_LINES)
+def _(v):
+    text_ = F.concat("Omschrijving-1", F.lit('\n "quoted", \n\n'), "Omschrijving-1")
+    folder = write_test_exports(v, raw_export_a(v).withColumn("Omschrijving-1", text_))
+    return exports.load_exports(v.spark, folder).transactions.select(*_LOADED, _origin())
+
+
+_B_HEADER = ",".join(LAYOUT_B.columns)
+_B_LINE = """rekening || ',' || datum || ',"' || bedrag || '",' || oms || CASE WHEN ends_with(oms, 'P') THEN ',,more' ELSE '' END"""
+
+
+@query(
+    "rejected_rows",
+    f"""SELECT {_B_LINE} AS "row", 'more fields than the header' AS reason, 'b' AS origin,
+       (SELECT count(*) FROM raw_b WHERE NOT ends_with(oms, 'P')) AS loaded FROM raw_b WHERE ends_with(oms, 'P')""",
+    "raw_b",
+)
+def _(v):
+    folder = scratch_folder(v.spark)
+    extra = F.when(F.endswith("oms", F.lit("P")), ",,more").otherwise("")
+    line = F.concat("rekening", F.lit(","), "datum", F.lit(',"'), "bedrag", F.lit('",'), "oms", extra).alias("value")
+    tables.write_export(v.raw_b.select(line), f"{folder}/b", _B_HEADER)
+    tables.name_parts(v.spark, f"{folder}/b", "b")
+    load = exports.load_exports(v.spark, folder)
+    loaded = load.transactions.agg(F.count("*").alias("n")).scalar().alias("loaded")
+    return load.rejected_rows.select("row", "reason", _origin(), loaded)
+
+
+@query(
+    "rejected_files",
+    """SELECT origin, reason, (SELECT count(*) FROM raw_b) AS loaded
+FROM (VALUES ('nation', 'no known layout'), ('twice', 'repeated column names'), ('empty', 'empty file')) AS r(origin, reason)
+WHERE EXISTS (SELECT 1 FROM nation)""",
+    "raw_b",
+)
+def _(v):
+    folder = scratch_folder(v.spark)
+    tables.write_csv(raw_export_b(v), f"{folder}/b")
+    tables.write_csv(v.nation, f"{folder}/nation")
+    tables.write_export(v.raw_b.select(F.concat_ws(",", "rekening", "datum", "oms").alias("value")), f"{folder}/twice", "Transactiedatum,Transactiebedrag,x,x")
+    v.raw_b.limit(0).select("oms").coalesce(1).write.text(f"{folder}/empty")
+    for name in ("b", "nation", "twice", "empty"):
+        tables.name_parts(v.spark, f"{folder}/{name}", name)
+    load = exports.load_exports(v.spark, folder)
+    loaded = load.transactions.agg(F.count("*").alias("n")).scalar().alias("loaded")
+    return load.rejected_files.select(F.regexp_extract("path", r"(\w+)-[0-9]+\.csv$", 1).alias("origin"), "reason").distinct().select("*", loaded)
+
+
+@query(
+    "load_table",
+    """SELECT 'TXN_' || upper(substr(Transaction_Key, 1, 8)) AS Transaction_ID, Date, Amount, Description, Account_Number, Currency, Sequence_Number,
+       true AS from_file FROM identified WHERE origin = 'a'""",
+    "raw_a", "raw_b", also=_IDENTIFIED,
+)
+def _(v):
+    path = f"{scratch_folder(v.spark)}/a"
+    raw_export_a(v).write.parquet(path)
+    found = exports.load_table(v.spark, path, LAYOUT_A)
+    return found.select("Transaction_ID", *_LOADED, F.endswith("Source_File", F.lit(".parquet")).alias("from_file"))
+
+
+def _all_columns(v: Views) -> DataFrame:
+    """The orders with every column of the canonical table."""
+    return v.txn_orders.select(*[
+        F.col(f.name).cast(f.dataType) if f.name in v.txn_orders.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TRANSACTION_SCHEMA
+    ])
+
+
+@query("transactions_csv", "SELECT *, CAST(NULL AS varchar) AS Creditor_ID FROM txn_orders", "txn_orders")
+def _(v):
+    path = f"{scratch_folder(v.spark)}/combined"
+    tables.write_csv(_all_columns(v), path)
+    return tables.read_transactions_csv(v.spark, path).select(*v.txn_orders.columns, "Creditor_ID")
+
+
+@query(
+    "year_store",
+    "SELECT Transaction_ID, Date, Amount, cast(year(Date) AS integer) AS Year FROM txn_orders WHERE Date >= TIMESTAMP '1996-01-01' AND Date < TIMESTAMP '1997-01-01'",
+    "txn_orders",
+)
+def _(v):
+    path = f"{scratch_folder(v.spark)}/store"
+    tables.write_transactions(_all_columns(v), path)
+    found = filters.by_period(tables.read_transactions(v.spark, path), "last_year", "1997-05-05")
+    return found.select("Transaction_ID", "Date", "Amount", "Year")
+
+
 @query("write_read_csv", "SELECT * FROM txn_orders", "txn_orders")
 def _(v):
     path = f"{scratch_folder(v.spark)}/combined"
@@ -1210,6 +1479,13 @@ def _(v):
     return documents.read_categories(v.spark, path)[1]
 
 
+@query("categories_document_table", "SELECT category, description, active FROM categories_part", "categories_part")
+def _(v):
+    path = f"{scratch_folder(v.spark)}/categories"
+    documents.write_categories(v.categories_part, v.tree_part, path)
+    return documents.read_categories(v.spark, path)[0].select("category", "description", "active")
+
+
 def _backup(v: Views) -> str:
     return tables.create_backup(v.spark, scratch_folder(v.spark), v.rules_part, v.categories_part, v.tree_part, v.txn_orders)
 

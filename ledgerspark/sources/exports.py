@@ -19,7 +19,7 @@ from ledgerspark.operators.normalize import canonical_columns, canonical_values,
 from ledgerspark.schema import IDENTITY_COLUMNS, KEY_COLUMN, LAYOUTS, ORIGIN_COLUMN, TRANSACTION_COLUMNS, Layout
 from ledgerspark.session import scratch_folder
 from ledgerspark.sources import tables
-from ledgerspark.sources.records import LONGEST_RECORD, blocks_of, files_of, lines_of, records_of
+from ledgerspark.sources.records import LONGEST_RECORD, blocks_of, field_count, files_of, lines_of, records_of
 
 EXPORT_FILES = "*.{csv,CSV}"
 # Texts the usual table readers take for a missing value.
@@ -140,7 +140,7 @@ def _classified(files: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
 
     numbers = [F.when(F.forall(F.array(*[F.lit(r) for r in known.required]), lambda r: F.array_contains("header", r)), F.lit(i)) for i, known in enumerate(layouts)]
     repeated = F.size(F.array_distinct("header")) != F.size("header")
-    reason = F.when(F.col("layout").isNull(), "no known layout").when(repeated, "repeated column names")
+    reason = F.when(F.col("open_header"), "header of several lines").when(F.col("layout").isNull(), "no known layout").when(repeated, "repeated column names")
     places = F.array(*[F.array_position("header", F.lit(name)).cast("int") for name in _source_names(layouts)])
     return files.drop("first_line").withColumn("layout", F.coalesce(*numbers)).select(
         "*", reason.alias("reason"), places.alias("places"), F.struct(*[has(name) for name in TRANSACTION_COLUMNS]).alias("has")
@@ -150,16 +150,16 @@ def _classified(files: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
 def _parsed(records: DataFrame, files: DataFrame, width: int, layouts: tuple[Layout, ...], money_type: str, strip_thousands: bool) -> DataFrame:
     """Records as canonical rows with IDs and the full key; reason and row (the text) tell of rejected ones.
 
-    All files are parsed alike, into as many text fields as the longest header has and one more; what a
-    field means is looked up in the places that its file's row holds.
+    All files are parsed alike, into as many text fields as the longest header has; what a field means is
+    looked up in the places that its file's row holds.
     """
-    schema = ", ".join(f"c{i} string" for i in range(width + 1))
+    schema = ", ".join(f"c{i} string" for i in range(width))
     names = _source_names(layouts)
     about = files.select("path", "layout", "places", "has", F.size("header").alias("fields"))
     split = records.join(about, "path").withColumn("c", F.from_csv("text", schema, {"escape": '"', "mode": "PERMISSIVE"}))
-    values = F.array(*[F.col(f"c.c{i}") for i in range(width + 1)])
+    values = F.array(*[F.col(f"c.c{i}") for i in range(width)])
     split = split.withColumn("values", values)
-    overfull = F.exists(F.slice("values", F.col("fields") + 1, width + 1), lambda v: v.isNotNull())
+    overfull = field_count(F.col("text")) > F.col("fields")
     reason = F.when(F.col("too_long"), f"record of more than {LONGEST_RECORD} characters").when(overfull, "more fields than the header")
     named = split.select(
         "layout", "has", F.coalesce(reason, F.lit(None).cast("string")).alias("reason"), F.when(reason.isNotNull(), F.col("text")).alias("row"), _file_name(F.col("path")).alias(ORIGIN_COLUMN),

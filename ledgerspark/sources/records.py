@@ -2,8 +2,8 @@
 
 Files are read as lines without decoding, so files of any size are split among tasks. What a line means
 depends on little: the file's encoding, its header, and whether a quoted field is open where the line
-begins. The last is told by the number of quotes before it, odd or even, which is summed per block of a
-file first and then carried from block to block.
+begins. What a line does to that is a function of two values (closed, open); functions of lines are put
+together within a block of a file first, then from block to block.
 """
 
 from __future__ import annotations
@@ -32,20 +32,54 @@ def lines_of(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     )
 
 
-def quotes(value: str) -> Column:
-    """1 if the text holds an odd number of quotes, else 0. Counted in bytes, as raw bytes may not be UTF-8."""
-    return (F.octet_length(value) - F.octet_length(F.replace(F.col(value), F.lit('"'), F.lit("")))) % 2
+def _quote_free(value: Column) -> Column:
+    """The line without the quoted fields that are closed properly."""
+    return F.regexp_replace(value, r'(?<=^|,)"[^"]*+"(?=,|\r?$)', "")
+
+
+def _is_odd(part: Column) -> Column:
+    return (F.octet_length(part) - F.octet_length(F.replace(part, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def open_after(value: Column, open_before: int) -> Column:
+    """Whether (1 or 0) a quoted field is open behind a line.
+
+    Only a quote at a field's start opens it; others are plain text. Lines without quotes, or with
+    properly closed fields alone, are told without looking at each field.
+    """
+    steps = F.aggregate(
+        F.split(value, ","), F.lit(open_before),
+        lambda open_, part: F.when(_is_odd(part) & ((open_ == 1) | part.startswith('"')), 1 - open_).otherwise(open_),
+    )
+    told = F.when(~value.contains('"'), F.lit(open_before))
+    if not open_before:
+        told = told.when(~_quote_free(value).contains('"'), F.lit(0))
+    return told.otherwise(steps)
+
+
+def field_count(text: Column) -> Column:
+    """How many fields a record has, up to the last that isn't empty."""
+    kept = _quote_free(F.regexp_replace(text, r"[,\s]+$", ""))
+    commas = F.length(kept) - F.length(F.replace(kept, F.lit(","), F.lit("")))
+    state = F.struct(F.lit(0).alias("fields"), F.lit(0).alias("open"))
+
+    def step(s: Column, part: Column) -> Column:
+        toggles = _is_odd(part) & ((s["open"] == 1) | part.startswith('"'))
+        return F.struct((s["fields"] + (1 - s["open"])).alias("fields"), F.when(toggles, 1 - s["open"]).otherwise(s["open"]).alias("open"))
+
+    steps = F.aggregate(F.split(kept, ","), state, step)["fields"]
+    return F.when(~kept.contains('"'), commas + 1).otherwise(steps)
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
-    """Per block of a file: its first line, whether it is UTF-8, and its quotes. Fixed-size values only, so it is a hash aggregate.
+    """Per block of a file: its first line, whether it is UTF-8, and whether any line leaves a field open.
 
-    No UTF-8 sequence holds a line feed, so checking lines is checking the file.
+    Fixed-size values only, so it is a hash aggregate. No UTF-8 sequence holds a line feed, so checking
+    lines is checking the file.
     """
     return lines.groupBy("path", "block").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        (F.sum(quotes("value")) % 2).cast("int").alias("odd"),
-        F.bool_or(quotes("value") == 1).alias("open_lines"),
+        F.bool_or(open_after(F.col("value"), 0) == 1).alias("open_lines"),
         F.min("line").alias("first"),
     )
 
@@ -65,7 +99,7 @@ def decoded(value: str, utf8: str) -> Column:
 
 
 def files_of(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per file with lines: path, utf8, multi_line, first (line), first_line (text) and header (array of names)."""
+    """One row per file with lines: path, utf8, multi_line, first (line), first_line (text), open_header and header (array of names)."""
     files = blocks.groupBy("path").agg(
         F.bool_and("utf8").alias("utf8"),
         F.bool_or("open_lines").alias("multi_line"),
@@ -74,39 +108,57 @@ def files_of(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     first = lines.filter("block = 0").select("line", "value")
     joined = files.join(first, files["first"] == first["line"])
     told = joined.select("path", "utf8", "multi_line", "first", decoded("value", "utf8").alias("first_line"))
-    return told.withColumn("header", header_fields(F.col("first_line")))
+    return told.withColumn("open_header", open_after(F.col("first_line"), 0) == 1).withColumn("header", header_fields(F.col("first_line")))
 
 
-def _marked(lines: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines of files with open quotes: where records begin and end, and the last begin of their block up to them."""
-    broken = files.filter("multi_line").select("path", "utf8", "first")
-    text = lines.join(broken, "path").select(
-        "path", "block", "line", decoded("value", "utf8").alias("text"), quotes("value").alias("odd"), (F.col("line") == F.col("first")).alias("is_header")
-    )
-    in_block = Window.partitionBy("path", "block").orderBy("line")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    earlier_blocks = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.join(broken.select("path"), "path").select(
-        "path", "block", F.coalesce(F.sum("odd").over(earlier_blocks), F.lit(0)).alias("open")
-    )
-    counted = text.withColumn("seen", F.coalesce(F.sum("odd").over(before), F.lit(0))).join(starts, ["path", "block"])
-    open_ = F.col("seen") + F.col("open")
-    marked = counted.select("path", "block", "line", "text", "is_header", (open_ % 2 == 0).alias("begins"), ((open_ + F.col("odd")) % 2 == 0).alias("ends"))
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("own", F.max(F.when(F.col("begins"), F.col("line"))).over(upto)).filter("NOT is_header").drop("is_header")
+def _state(last: str, swaps: Column, start: Column) -> Column:
+    """Open or closed, from the last line that sets it whatever was before, the swaps since, or else from the start."""
+    since = F.coalesce(swaps, F.lit(0)) - F.coalesce(F.col(f"{last}.swaps"), F.lit(0))
+    return (F.coalesce(F.col(f"{last}.sets"), start) + since) % 2
+
+
+def _counted(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """For rows with ``after_0`` and ``after_1``: what comes before each (``last``, ``swaps``) and what holds behind it (``last_to``, ``swaps_to``)."""
+    window = Window.partitionBy(*group).orderBy(order)
+    before, upto = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("swaps_to", F.sum(((F.col("after_0") == 1) & (F.col("after_1") == 0)).cast("long")).over(upto))
+    sets = F.when(F.col("after_0") == F.col("after_1"), F.struct(F.col("after_0").alias("sets"), F.col("swaps_to").alias("swaps")))
+    rows = rows.withColumn("own_set", sets)
+    return rows.select(
+        "*", F.last("own_set", ignorenulls=True).over(before).alias("last"), F.last("own_set", ignorenulls=True).over(upto).alias("last_to"),
+        F.lag("swaps_to").over(window).alias("swaps"),
+    ).drop("own_set")
 
 
 def whole_records(lines: DataFrame, blocks: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """Records of files whose quoted fields may span lines: path, text, too_long. Lines are staged in ``folder``.
 
-    Within a block, which is one split of bounded size, the running number of quotes tells where records
-    begin. A line that continues a record of an earlier block belongs to the last record that began
-    before its block. Only lines of records with several lines are gathered, after a check of their size.
+    Within a block, which is one split of bounded size, running sums tell where records begin. A line that
+    continues a record of an earlier block belongs to the last record that began before its block. Only
+    lines of records with several lines are gathered, after a check of their size.
     """
-    _marked(lines, blocks, files).write.parquet(folder)
-    marked = lines.sparkSession.read.parquet(folder)
+    broken = files.filter("multi_line").select("path", "utf8", "first")
+    text = lines.join(broken, "path").select(
+        "path", "block", "line", decoded("value", "utf8").alias("text"), (F.col("line") == F.col("first")).alias("is_header"),
+        open_after(F.col("value"), 0).alias("after_0"), open_after(F.col("value"), 1).alias("after_1"),
+    )
+    _counted(text, ["path", "block"], "line").write.parquet(folder)
+    counted = lines.sparkSession.read.parquet(folder)
+
+    # A block as a whole is such a function too; one row per block.
+    behind = counted.groupBy("path", "block").agg(F.max_by(F.struct("last_to", "swaps_to"), "line").alias("x")).select("path", "block", "x.*")
+    ends_0, ends_1 = (_state("last_to", F.col("swaps_to"), F.lit(start)).cast("int") for start in (0, 1))
+    whole = _counted(behind.select("path", "block", ends_0.alias("after_0"), ends_1.alias("after_1")), ["path"], "block")
+    starts = whole.select("path", "block", _state("last", F.col("swaps"), F.lit(0)).alias("start"))
+
+    open_before = _state("last", F.col("swaps"), F.col("start"))
+    marked = counted.join(starts, ["path", "block"]).withColumn("open_before", open_before).filter("NOT is_header").select(
+        "path", "block", "line", "text", (F.col("open_before") == 0).alias("begins"),
+        (F.when(F.col("open_before") == 0, F.col("after_0")).otherwise(F.col("after_1")) == 0).alias("ends"),
+    )
     single = marked.filter("begins AND ends").select("path", "text", F.lit(False).alias("too_long"))
-    parts = marked.filter("NOT (begins AND ends)")
+    upto = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = marked.filter("NOT (begins AND ends)").withColumn("own", F.max(F.when(F.col("begins"), F.col("line"))).over(upto))
     lasts = parts.filter("begins").groupBy("path", "block").agg(F.max("line").alias("last"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.when(F.col("last").isNotNull(), F.struct("block", "last"))

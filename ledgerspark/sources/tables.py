@@ -58,6 +58,22 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     df.write.options(**CSV_OPTIONS, encoding=encoding).csv(path)
 
 
+def write_export(lines: DataFrame, path: str, header: str) -> None:
+    """Lines (one text column) as a folder of text files, each with the header first."""
+    column = lines.columns[0]
+    # The lower bits of the number count the rows of a task, and each task writes one file.
+    at_start = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines.select(F.when(at_start, F.concat(F.lit(header + "\n"), column)).otherwise(F.col(column)).alias(column)).write.text(path)
+
+
+def name_parts(spark: SparkSession, path: str, name: str) -> None:
+    """Rename the files of a written folder to ``name-0.csv``, ``name-1.csv``, ..."""
+    system, folder = _file_system(spark, path)
+    parts = sorted(status.getPath().getName() for status in system.listStatus(folder))
+    for i, part in enumerate(p for p in parts if p.startswith("part-")):
+        system.rename(_file_system(spark, f"{path}/{part}")[1], _file_system(spark, f"{path}/{name}-{i}.csv")[1])
+
+
 def write_transactions(df: DataFrame, path: str) -> None:
     """The default store: Parquet by year, so that period filters prune folders.
 

@@ -36,7 +36,7 @@ def small_splits(spark):
 
 def random_rows(seed, n=120):
     draw = random.Random(seed)
-    parts = ["tea", "\n", '"', ",", "café", "  ", "\n\n", '""', "x" * 40, "long " * 30]
+    parts = ["tea", "\n", '"', ",", "café", "  ", "\n\n", '""', '",\n"', "x" * 40, "long " * 30]
     return [["7", "20240131", f"-{i},50", "n" + "".join(draw.choice(parts) for _ in range(draw.randint(1, 7))) + "e"] for i in range(n)]
 
 
@@ -65,6 +65,18 @@ def test_a_missing_quote_costs_its_record_only(spark, tmp_path, monkeypatch, sma
     assert "characters" in load.rejected_rows.first().reason
 
 
+def test_quotes_inside_plain_fields_are_text(spark, tmp_path):
+    (tmp_path / "inch.csv").write_text(f'{B_HEADER}\n7,20240131,"1,00",55" screen\n7,20240201,"2,00",12"\n7,20240202,"3,00",he said "hi" twice\n')
+    (tmp_path / "both.csv").write_text(f'{B_HEADER}\n7,20240131,"4,00",55" screen\n7,20240201,"5,00","two\n""lines"", x"\n7,20240202,"6,00",12"\n')
+    (tmp_path / "head.csv").write_text('Rekeningnummer,Transactiedatum,Transactiebedrag,"Omschrijving\n2"\n7,20240131,1,x\n')
+    assert {r.path.rsplit("/", 1)[-1]: r.multi_line for r in exports.probe_files(spark, str(tmp_path)).collect()} == {"inch.csv": False, "both.csv": True, "head.csv": True}
+    load = exports.load_exports(spark, str(tmp_path))
+    assert sorted((r.Amount, r.Description) for r in load.transactions.collect()) == [
+        (1.0, '55" screen'), (2.0, '12"'), (3.0, 'he said "hi" twice'), (4.0, '55" screen'), (5.0, 'two "lines", x'), (6.0, '12"')
+    ]
+    assert [r.reason for r in load.rejected_files.collect()] == ["header of several lines"] and load.rejected_rows.count() == 0
+
+
 def test_plans_of_probing_have_no_sort_over_lines(spark, tmp_path):
     (tmp_path / "one.csv").write_text(f"{B_HEADER}\n8,20240201,1,x\n")
     lines = records.lines_of(spark, str(tmp_path), "*.csv")
