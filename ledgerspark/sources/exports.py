@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import ledger as ledgers
 from ledgerspark.operators.identity import with_transaction_id, with_unique_ids
-from ledgerspark.operators.normalize import canonical_columns, canonical_values, normalize
-from ledgerspark.schema import IDENTITY_COLUMNS, KEY_COLUMN, LAYOUTS, ORIGIN_COLUMN, TRANSACTION_COLUMNS, Layout
+from ledgerspark.operators.normalize import DESCRIPTION_PARTS, canonical_columns, canonical_values, normalize
+from ledgerspark.schema import IDENTITY_COLUMNS, KEY_COLUMN, LAYOUTS, ORIGIN_COLUMN, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA, Layout
 from ledgerspark.session import scratch_folder
 from ledgerspark.sources import tables
-from ledgerspark.sources.records import LONGEST_RECORD, blocks_of, field_count, files_of, lines_of, records_of
+from ledgerspark.sources.records import LONGEST_RECORD, blocks_of, files_of, lines_of, records_of, separators
 
 EXPORT_FILES = "*.{csv,CSV}"
 # Texts the usual table readers take for a missing value.
@@ -86,13 +86,12 @@ def load_exports(
     ).first()
 
     records = records_of(lines, blocks, good, f"{base}/lines" if seen.multi_line else None)
-    parsed = _parsed(records, good, seen.width or 1, layouts, money_type, strip_thousands)
+    present = [name for name in TRANSACTION_COLUMNS if seen.width is None or name in ("Transaction_ID", "Description", ORIGIN_COLUMN) or seen[name]]
+    parsed = _parsed(records, good, seen.width or 1, present, layouts, money_type, strip_thousands)
     parsed.write.parquet(f"{base}/rows")
     rows = spark.read.schema(parsed.schema).parquet(f"{base}/rows")
     rejected = rows.filter("reason IS NOT NULL")
-    transactions = rows.filter("reason IS NULL").drop("reason", "row")
-    present = [name for name in TRANSACTION_COLUMNS if seen.width is None or name in ("Transaction_ID", "Description", ORIGIN_COLUMN) or seen[name]]
-    transactions = transactions.select(*present, *([KEY_COLUMN] if keyed else []))
+    transactions = rows.filter("reason IS NULL").select(*present, *([KEY_COLUMN] if keyed else []))
     if unique_ids and seen.width is not None:
         for column in ([KEY_COLUMN] if keyed else []) + ["Transaction_ID"]:
             transactions = _made_unique(transactions, column, ledger)
@@ -147,7 +146,7 @@ def _classified(files: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
     )
 
 
-def _parsed(records: DataFrame, files: DataFrame, width: int, layouts: tuple[Layout, ...], money_type: str, strip_thousands: bool) -> DataFrame:
+def _parsed(records: DataFrame, files: DataFrame, width: int, present: list[str], layouts: tuple[Layout, ...], money_type: str, strip_thousands: bool) -> DataFrame:
     """Records as canonical rows with IDs and the full key; reason and row (the text) tell of rejected ones.
 
     All files are parsed alike, into as many text fields as the longest header has; what a field means is
@@ -159,25 +158,25 @@ def _parsed(records: DataFrame, files: DataFrame, width: int, layouts: tuple[Lay
     split = records.join(about, "path").withColumn("c", F.from_csv("text", schema, {"escape": '"', "mode": "PERMISSIVE"}))
     values = F.array(*[F.col(f"c.c{i}") for i in range(width)])
     split = split.withColumn("values", values)
-    overfull = field_count(F.col("text")) > F.col("fields")
+    overfull = separators(F.col("text"), F.col("values")) >= F.col("fields")
     reason = F.when(F.col("too_long"), f"record of more than {LONGEST_RECORD} characters").when(overfull, "more fields than the header")
     named = split.select(
         "layout", "has", F.coalesce(reason, F.lit(None).cast("string")).alias("reason"), F.when(reason.isNotNull(), F.col("text")).alias("row"), _file_name(F.col("path")).alias(ORIGIN_COLUMN),
         *[F.try_element_at("values", F.nullif(F.col("places")[i], F.lit(0))).alias(f"v{i}") for i in range(len(names))],
     )
     known = {name: F.when(~F.col(f"v{i}").isin(*MISSING_TEXTS), F.col(f"v{i}")) for i, name in enumerate(names)}
+    wanted = {*present, *DESCRIPTION_PARTS}
     made: dict[str, Column] = {}
     for number, layout in enumerate(layouts):
-        fields = {target: known[name] for name, target in layout.columns.items()}
+        fields = {target: known[name] for name, target in layout.columns.items() if target in wanted}
         for name, value in canonical_values(fields, layout, money_type, strip_thousands).items():
             own = F.when(F.col("layout") == number, value)
             made[name] = F.coalesce(made[name], own) if name in made else own
-    for name in TRANSACTION_COLUMNS[1:-1]:
-        made.setdefault(name, F.lit(None).cast("string"))
-    table = named.select(*[made[name].alias(name) for name in TRANSACTION_COLUMNS[1:-1]], ORIGIN_COLUMN, "reason", "row", "has")
+    columns = [f for f in TRANSACTION_SCHEMA if f.name in present and f.name not in ("Transaction_ID", ORIGIN_COLUMN)]
+    table = named.select(*[made.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in columns], ORIGIN_COLUMN, "reason", "row", "has")
     # A field that a file doesn't have counts as absent, whatever files are loaded beside it.
-    present = {name: F.col(f"has.{name}") for name in IDENTITY_COLUMNS if name != "Description"}
-    return with_transaction_id(table, KEY_COLUMN, present).drop("has")
+    has = {name: F.col(f"has.{name}") for name in IDENTITY_COLUMNS if name != "Description"}
+    return with_transaction_id(table, KEY_COLUMN, has).drop("has")
 
 
 def load_table(

@@ -57,18 +57,16 @@ def open_after(value: Column, open_before: int) -> Column:
     return told.otherwise(steps)
 
 
-def field_count(text: Column) -> Column:
-    """How many fields a record has, up to the last that isn't empty."""
-    kept = _quote_free(F.regexp_replace(text, r"[,\s]+$", ""))
-    commas = F.length(kept) - F.length(F.replace(kept, F.lit(","), F.lit("")))
-    state = F.struct(F.lit(0).alias("fields"), F.lit(0).alias("open"))
-
-    def step(s: Column, part: Column) -> Column:
-        toggles = _is_odd(part) & ((s["open"] == 1) | part.startswith('"'))
-        return F.struct((s["fields"] + (1 - s["open"])).alias("fields"), F.when(toggles, 1 - s["open"]).otherwise(s["open"]).alias("open"))
-
-    steps = F.aggregate(F.split(kept, ","), state, step)["fields"]
-    return F.when(~kept.contains('"'), commas + 1).otherwise(steps)
+def _commas(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(","), F.lit("")))
+
+
+def separators(text: Column, values: Column) -> Column:
+    """How many commas of a record stand between fields, up to the last field that isn't empty.
+
+    ``values`` are the fields that were read; the commas in them are no separators.
+    """
+    return _commas(F.rtrim(text, F.lit(", \t\r"))) - _commas(F.array_join(values, ""))
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
