@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ledgerspark.llm.common import arrow_map, as_texts, mixed, replaced, slices
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 #: Words whose sums are remembered in a task at most.
 CACHE_WORDS = 100_000
@@ -29,9 +29,12 @@ class Settings:
     """The training sample has about ``sample`` rows at most, the same number for each language. Texts up to ``longest``
     characters come first; where a language has too few, so much of longer ones, from a place chosen by hash.
 
-    A text is rejected if its calibrated score is below the lowest one at which accepted texts are right
-    with ``precision``, but of the texts told rightly only ``lost`` may go; and in any case below ``floor``
-    times the score of a blind guess. Small samples are gone through more often, for ``steps`` in all.
+    One more class stands for what is no known language; it is learned from made-up texts, ``noise`` times as many as a
+    language has. A text is rejected if its calibrated score is below the lowest one at which accepted texts
+    (made-up ones among them) are right with ``precision``, but of the texts told rightly only ``lost`` may
+    go; and in any case below ``floor`` times the score of a blind guess. Every text is learned from a
+    second time as a passage of ``passage`` characters at most, as short texts look different. Small samples are gone
+    through more often, for ``steps`` in all.
     """
 
     sample: int = 1600
@@ -44,9 +47,11 @@ class Settings:
     boost: float = 2.0
     batch: int = 32
     steps: int = 240
-    precision: float = 0.97
-    lost: float = 0.002
-    floor: float = 1.4
+    noise: int = 2
+    passage: int = 120
+    precision: float = 0.995
+    lost: float = 0.004
+    floor: float = 1.2
     seed: int = 5
 
 
@@ -68,7 +73,10 @@ def subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """``table``: per bucket its embedding times the output layer; averaging and the layer are both linear."""
+    """``table``: per bucket its embedding times the output layer; averaging and the layer are both linear.
+
+    Its last column is the class of texts in no known language, if there are languages.
+    """
 
     languages: list[str]
     table: np.ndarray
@@ -80,18 +88,19 @@ class Model:
     _sums: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Calibrated probabilities; texts without subwords get those of the bias."""
-        out = np.zeros((len(texts), len(self.languages)))
+        """Calibrated probabilities of the languages, and last that of none; texts without subwords get those of the bias."""
+        width = len(self.bias)
+        out = np.zeros((len(texts), width))
         for start, end in slices(texts):
             words = [t.lower().split() for t in texts[start:end]]
             if self._sums is None or len(self._rows) > CACHE_WORDS:
-                self._rows, self._sums = {}, np.empty((0, len(self.languages) + 1))
+                self._rows, self._sums = {}, np.empty((0, width + 1))
             new = list(set(filterfalse(self._rows.__contains__, chain.from_iterable(words))))
             if new:
                 self._rows.update(zip(new, range(len(self._rows), len(self._rows) + len(new))))
                 self._sums = np.concatenate([self._sums, *[self._summed(new[a:b]) for a, b in slices(new, STEP_WORDS)]])
             for i, own in enumerate(words, start):
-                total = self._sums[list(map(self._rows.__getitem__, own))].sum(axis=0) if own else np.zeros(len(self.languages) + 1)
+                total = self._sums[list(map(self._rows.__getitem__, own))].sum(axis=0) if own else np.zeros(width + 1)
                 out[i] = total[:-1] / max(total[-1], 1) + self.bias
         return softmax(out / self.temperature)
 
@@ -104,7 +113,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and whether the text is rejected; ``und`` with score 0 for texts without a letter, or all if no language is known."""
-        scores = self.scores(texts) if self.languages else np.zeros((len(texts), 1))
+        scores = self.scores(texts)[:, :-1] if self.languages else np.zeros((len(texts), 1))
         letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
         best = scores.argmax(axis=1)
         score = np.where(letters, scores[np.arange(len(texts)), best], 0.0)
@@ -119,6 +128,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def made_up(texts: list[str], n: int, draw: np.random.Generator) -> list[str]:
+    """``n`` texts in no language, as long as texts that are given: shuffled letters of a text, letters of all
+    texts at random, letters of a stretch of Unicode that stands for another script, and printable characters.
+
+    Letters have even or falling shares, words between 1 and 12 letters.
+    """
+    own = sorted({c for t in texts for c in t[:2000].lower() if c.isalpha()}) or ["a"]
+    out = []
+    for i in range(n):
+        length = int(min(len(texts[draw.integers(len(texts))]), 2000)) + 1
+        if i % 5 < 2:
+            source = texts[draw.integers(len(texts))][:2000]
+            out.append("".join(draw.permutation(list(source or "a"))))
+            continue
+        letters = own
+        if i % 5 == 3:
+            letters = []
+            while len(letters) < 20:
+                start, width = int(draw.integers(0x250, 0xFFFF)), int(draw.choice([40, 80, 3000]))
+                letters = [chr(c) for c in range(start, min(start + width, 0xD800 if start < 0xD800 else 0x10000)) if chr(c).isalpha()]
+        elif i % 5 == 4:
+            letters = [chr(c) for c in range(0x21, 0x7F)]
+        letters = list(draw.permutation(letters))
+        weight = np.ones(len(letters)) if draw.random() < 0.5 else 1 / np.arange(1, len(letters) + 1)
+        drawn = draw.choice(letters, length, p=weight / weight.sum())
+        ends = np.cumsum(draw.integers(1, 13, length))
+        out.append(" ".join("".join(w) for w in np.split(drawn, ends[ends < length])))
+    return out
+
+
 def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
     """Stochastic gradient descent on four fifths of the rows; temperature and threshold come from the last fifth.
 
@@ -126,19 +165,28 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     """
     rows = [(t, x) for t, x in zip(texts, languages) if _LETTER.search(t)]
     names = sorted({x for _, x in rows})
-    model = Model(names, np.zeros((settings.buckets, len(names))), np.zeros(len(names)), 1.0, 0.0, settings)
-    if len(names) < 2:
+    model = Model(names, np.zeros((settings.buckets, len(names) + 1)), np.zeros(len(names) + 1), 1.0, 0.0, settings)
+    if not names:
         return model
     draw = np.random.default_rng(settings.seed)
-    order = draw.permutation(len(rows))
-    held, used = order[: len(rows) // 5], order[len(rows) // 5 :]
-    label = np.array([names.index(x) for _, x in rows])
+    none = settings.noise * max(1, len(rows) // len(names))
+    label = np.array([names.index(x) for _, x in rows] + [len(names)] * none)
+    whole = [t for t, _ in rows] + made_up([t for t, _ in rows], none, draw)
+    order = draw.permutation(len(whole))
+    held, used = order[: len(whole) // 5], order[len(whole) // 5 :]
+    passages = []
+    for text in whole:
+        size = int(draw.integers(settings.passage // 6, settings.passage))
+        start = int(draw.integers(max(1, len(text) - size)))
+        # Whole words, if there are any.
+        passages.append(" ".join(text[start : start + size].split(" ")[1:-1]) or text[start : start + size])
+    label, used, count = np.r_[label, label], np.r_[used, used + len(whole)], len(names) + 1
     features = []
-    for text, _ in rows:
-        bucket, n = np.unique(subwords(text.lower().split(), settings)[0], return_counts=True)
+    for text in [*whole, *passages]:
+        bucket, n = np.unique(subwords(text.lower().split() or [""], settings)[0], return_counts=True)
         features.append((bucket, n / n.sum()))
     embedding = draw.standard_normal((settings.buckets, settings.width)) / settings.width
-    layer, bias = draw.standard_normal((settings.width, len(names))) / settings.width, np.zeros(len(names))
+    layer, bias = draw.standard_normal((settings.width, count)) / settings.width, np.zeros(count)
     epochs = max(settings.epochs, -(-settings.steps * settings.batch // len(used)))
     for epoch in range(epochs):
         rate = settings.rate * (1 - epoch / epochs)
@@ -154,25 +202,25 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
             bias -= 0.1 * rate * error.mean(axis=0)
             np.subtract.at(embedding, bucket, step)
     model.table, model.bias = embedding @ layer, bias
-    calibrate(model, [rows[i][0] for i in held], label[held])
+    calibrate(model, [t for i in held for t in (whole[i], passages[i])], np.repeat(label[held], 2))
     return model
 
 
 def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
-    """The temperature with the least log loss, and the threshold of rejection."""
+    """The temperature with the least log loss, and the threshold of rejection; texts in no language have the last label."""
     if not texts:
         return
     raw = np.log(np.maximum(model.scores(texts), 1e-300))
     loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(label)), label], 1e-12)).mean()
-    model.temperature = float(min(np.geomspace(0.3, 20, 120), key=loss))
-    scores = softmax(raw / model.temperature)
+    model.temperature = float(min(np.geomspace(0.02, 20, 200), key=loss))
+    scores = softmax(raw / model.temperature)[:, :-1]
     top, right = scores.max(axis=1), scores.argmax(axis=1) == label
     order = np.argsort(-top, kind="stable")
     precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(precision >= model.settings.precision)
     lowest = 0.0 if len(good) and good[-1] == len(order) - 1 else top[order][good[-1]] if len(good) else 1.0
     spared = np.quantile(top[right], model.settings.lost) if right.any() else 1.0
-    model.threshold = float(max(model.settings.floor / len(model.languages), min(lowest, spared)))
+    model.threshold = float(max(model.settings.floor / (len(model.languages) + 1), min(lowest, spared)))
 
 
 def held_out(key: str) -> F.Column:
