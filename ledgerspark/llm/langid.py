@@ -254,7 +254,8 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with held_out, lang_pred, score and rejected; its own columns of these names go.
 
-    Whole texts count. Null texts and texts without a letter get ``und`` with score 0 and are rejected.
+    Whole texts count. Null texts and texts without a letter get ``und`` with score 0 and are rejected. Each row
+    is told by itself, so repeated rows agree and null keys are fine; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = replaced(docs, held_out=held_out(key))

@@ -182,7 +182,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", settings:
 
     ``class_id`` is the smallest key in the class (null if all are null). ``kept`` marks the class's keeper, the
     first by key and then by text; repeated rows of a keeper are all marked. Null texts count as empty; texts
-    without words are linked to equal texts only.
+    without words are linked to equal texts only. Long texts are read whole; an empty table gives an empty result.
     """
     weights = weights_of(docs, text, settings)
     shared = docs.sparkSession.sparkContext.broadcast(weights)

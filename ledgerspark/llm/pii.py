@@ -216,7 +216,11 @@ def learned(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], r
 
 
 def supervised(docs: DataFrame, text: str = "text") -> Supervision:
-    """Votes of all rows of ``docs``, counted by pattern in Spark: what comes to the driver doesn't grow with the rows."""
+    """Votes of all rows of ``docs``, counted by pattern in Spark: what comes to the driver doesn't grow with the rows.
+
+    Null texts count as empty, repeated rows as often as they are there, long texts are searched whole; an empty table, or
+    one without candidates, gives a model that adds no spans. Only ``text`` is read.
+    """
 
     def count(batch: pa.RecordBatch) -> list:
         found: Counter = Counter()
@@ -267,7 +271,11 @@ def _merged(spans: list[Span]) -> Iterator[tuple[int, int, str]]:
 
 
 def find(docs: DataFrame, model: Supervision, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256 and spans per row; null texts count as empty and have none."""
+    """key, n_email, n_ip, n_card, n_phone, base_sha256 and spans per row; null texts count as empty and have none.
+
+    Each row is searched by itself and as a whole, so repeated rows, null keys and long texts need no care; an
+    empty table gives an empty result. Other columns are left out, so their names don't matter.
+    """
     df = docs.select(key, text)
     schema = T.StructType([df.schema.fields[0], *[T.StructField(f"n_{k}", T.LongType()) for k in BASE], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
@@ -283,7 +291,12 @@ def find(docs: DataFrame, model: Supervision, text: str = "text", key: str = "do
 
 
 def redact(docs: DataFrame, model: Supervision, text: str = "text", length: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with spans in ``text`` replaced by their kind; null stays null. ``length`` names a column for the new number of code points."""
+    """``docs`` with spans in ``text`` replaced by their kind; null stays null. ``length`` names a column for the new number of code points.
+
+    If ``docs`` has no such column, none is added. Repeated rows stay repeated, an empty table stays empty,
+    whole texts are searched whatever their length, and all other columns stay as they are.
+    """
+    length = length if length in docs.columns else None
     place = docs.columns.index(text)
 
     def replace(batch: pa.RecordBatch) -> list:

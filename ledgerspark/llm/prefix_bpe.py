@@ -182,7 +182,11 @@ def decode(data: bytes, path: str, pattern: str) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (packed as little-endian unsigned 32-bit integers) per row of ``docs``; null texts have none."""
+    """key, ids (packed as little-endian unsigned 32-bit integers) per row of ``docs``; null texts have none.
+
+    Rows are encoded by themselves and whole, whatever their length; repeated rows give repeated codes, an empty table an
+    empty result. Other columns are left out.
+    """
 
     def encode(batch: pa.RecordBatch) -> list:
         return [batch.column(0), encode_texts(as_texts(batch.column(1)), path, pattern)]
@@ -192,7 +196,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", key: s
 
 
 def decoded(codes: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """key, ids and bytes (what the ids stand for) per row of ``codes``; null ids give null."""
+    """key, ids and bytes (what the ids stand for) per row of ``codes``; null ids give null, empty ones no bytes; an empty table gives an empty result."""
 
     def back(batch: pa.RecordBatch) -> list:
         return [batch.column(0), batch.column(1), [None if x is None else decode(x, path, pattern) for x in batch.column(1).to_pylist()]]
@@ -202,7 +206,11 @@ def decoded(codes: DataFrame, path: str, pattern: str, key: str = "doc_id") -> D
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, keeping digests only."""
+    """key, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, keeping digests only.
+
+    Null texts count as empty; long texts are encoded whole, repeated rows each by itself; an empty table
+    gives an empty result. Other columns are left out.
+    """
 
     def digests(batch: pa.RecordBatch) -> list:
         codes = encode_texts(as_texts(batch.column(1)), path, pattern)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +10,10 @@ from ledgerspark.llm import centroids, forest, langid, near_duplicates, packing,
 from ledgerspark.llm.common import table
 from ledgerspark.session import scratch_folder
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("LEDGERSPARK_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-MULTI_BPE = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-
-# Fixed value: the split before the merges of the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Public tokenizer files, and the split before the merges of the byte-level vocabularies.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,8 @@ def sharded(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "d
 
     Counts of shards are at most one apart. Documents with equal texts are linked: they start at the hash of
     their row and propagate; the others fill what the quotas leave. Null texts count as empty ones, repeated
-    rows as documents of their own. More copies than a quota take several shards.
+    rows as documents of their own. More copies than a quota take several shards. Of a text only its size and
+    hashes are kept, so its length doesn't matter; an empty table gives an empty result; other columns are left out.
     """
     group, spot = "group", F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = staged(
