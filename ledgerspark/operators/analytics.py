@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,6 +146,27 @@ def yearly_pivot(marked: DataFrame) -> DataFrame:
     return per_year.agg(*counts).withColumn("Total", F.col("Categorized") + F.col("Uncategorized"))
 
 
+def status_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a batch of changes does to ``yearly_counts``: Year, Status and Count to add, negative where rows are retracted.
+
+    ``before`` and ``after`` are the changed transactions alone, marked by the labels as they were and as they are.
+    """
+    counted = [yearly_counts(rows).withColumn("Count", F.lit(sign) * F.col("Count")) for rows, sign in ((before, -1), (after, 1))]
+    return merged_counts(*counted)
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """Kept counts with changes added; years and statuses without rows drop out. As small as there are years."""
+    united = reduce(DataFrame.unionByName, [p.select("Year", "Status", "Count") for p in parts])
+    return united.groupBy("Year", "Status").agg(F.sum("Count").alias("Count")).filter("Count <> 0")
+
+
+def pivot_of_counts(counts: DataFrame) -> DataFrame:
+    """``yearly_pivot`` from kept counts."""
+    columns = [F.coalesce(F.sum(F.when(F.col("Status") == status, F.col("Count"))), F.lit(0)).alias(status) for status in STATUSES]
+    return counts.groupBy("Year").agg(*columns).withColumn("Total", F.col("Categorized") + F.col("Uncategorized"))
+
+
 def yearly_progress(marked: DataFrame) -> DataFrame:
     """The yearly pivot with the share categorised, one decimal, half to even."""
     share = round_half_even(percent(F.col("Categorized"), F.col("Total")), 1)

@@ -13,6 +13,10 @@ from ledgerspark.session import ensure_checkpoint_dir
 # Up to this position a page comes from a top-k; beyond it rows are numbered first.
 TOP_K_LIMIT = 10_000
 _ROW_BITS = 33
+# Of a deep page's surroundings up to so many rows are sorted.
+SORTED_ROWS = 1_000_000
+# Ranges of a pass: the square of this.
+_WIDTH = 16
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -50,6 +54,62 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, name: str =
     return ranked.filter(F.col(name).between(first, last))
 
 
+def page_by_keys(df: DataFrame, keys: list[str], number: int, size: int, name: str = "position") -> DataFrame:
+    """Like ``page``, ascending by columns; only a bounded part of the rows is ever sorted.
+
+    Order statistics: a sample of keys (those with the smallest hashes) cuts the rows into ranges, which
+    are counted in a pass without a shuffle of rows. Only the ranges that hold the page go on, and are cut again
+    while they have more than ``SORTED_ROWS``. The keys must give a total order.
+    """
+    first, last, skipped = (number - 1) * size + 1, number * size, 0
+    part, rows = df, None
+    while last - skipped > TOP_K_LIMIT and (rows is None or rows > SORTED_ROWS):
+        sample = part.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(_WIDTH * _WIDTH - 1).orderBy(*keys).collect()
+        if not sample:
+            break
+        counted = part.groupBy(_range_of(keys, sample).alias("range")).agg(F.count("*").alias("rows")).collect()
+        counts = dict((r["range"], r["rows"]) for r in counted)
+        before, held = skipped, []
+        for i in range(len(sample) + 1):
+            n = counts.get(i, 0)
+            if before + n >= first and before < last and n:
+                held.append((i, before, n))
+            before += n
+        if not held:
+            return part.limit(0).withColumn(name, F.lit(0).cast("long"))
+        found = sum(n for _, _, n in held)
+        if rows is not None and found >= rows:
+            break
+        low, high, skipped, rows = held[0][0], held[-1][0], held[0][1], found
+        if low > 0:
+            part = part.filter(_key(keys) > _literal(keys, df, sample[low - 1]))
+        if high < len(sample):
+            part = part.filter(_key(keys) <= _literal(keys, df, sample[high]))
+    order = [F.col(key) for key in keys]
+    if last - skipped <= TOP_K_LIMIT:
+        ranked = part.orderBy(*order).limit(last - skipped).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        ranked = numbered(part, order, name)
+    return ranked.withColumn(name, F.col(name) + skipped).filter(F.col(name).between(first, last))
+
+
+def _key(keys: list[str]) -> Column:
+    return F.struct(*[F.col(key) for key in keys])
+
+
+def _literal(keys: list[str], df: DataFrame, row) -> Column:
+    return F.struct(*[F.lit(row[key]).cast(df.schema[key].dataType).alias(key) for key in keys])
+
+
+def _range_of(keys: list[str], bounds: list) -> Column:
+    """How many bounds lie below a row's key, found in two steps of ``_WIDTH`` comparisons."""
+    texts = F.array(*[F.struct(*[F.lit(row[key]).alias(key) for key in keys]) for row in bounds])
+    every = F.array(*[F.struct(*[F.lit(row[key]).alias(key) for key in keys]) for row in bounds[_WIDTH - 1 :: _WIDTH]]) if len(bounds) >= _WIDTH else None
+    below = lambda bound: bound < _key(keys)
+    step = F.size(F.filter(every, below)) * _WIDTH if every is not None else F.lit(0)
+    return step + F.size(F.filter(F.slice(texts, step + 1, _WIDTH), below))
+
+
 def row_at(df: DataFrame, order: list[Column], position: int) -> DataFrame:
     """The row at a position, counted from 1: first, jump."""
     return page(df, order, position, 1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import dates, numbers, text
-from ledgerspark.operators import analytics, catalog, conditions, filters, identity, labels, ledger, matching, normalize, paging
+from ledgerspark.operators import analytics, catalog, conditions, filters, identity, indexed, labels, ledger, matching, normalize, paging
 from ledgerspark.operators.rules import Rule, RuleSet
 from ledgerspark.plans.demo import DEMO_RULES, both, either, leaf, wide_rules
 from ledgerspark.plans.views import Views, with_views
@@ -452,6 +452,56 @@ def _(v):
     return matching.categorize(v.txn_lineitem, found).select("Date", "Amount", "Sequence_Number", "Category")
 
 
+@query(
+    "categorize_from_table",
+    """SELECT Date, Amount, Sequence_Number, coalesce('Category ' || (i % 17), '') AS Category,
+       coalesce('Sub ' || (i % 5), '') AS Subcategory, coalesce('Rule: rule_' || i, '') AS Categorization_Source
+FROM keyed LEFT JOIN best USING (k)""",
+    "txn_lineitem",
+    also=_WIDE,
+)
+def _(v):
+    done = indexed.categorize_from_table(v.txn_lineitem, wide_rules().to_table(v.spark))
+    return done.select("Date", "Amount", "Sequence_Number", "Category", "Subcategory", "Categorization_Source")
+
+
+@query(
+    "categorize_part_rules",
+    """SELECT t.Date, t.Amount, t.Sequence_Number, b.brand AS Category, 'rule_' || b.i AS rule_id FROM txn_lineitem t JOIN (
+  SELECT Description, arg_min(p_brand, place) AS brand, arg_min(p_partkey, place) AS i
+  FROM (SELECT DISTINCT Description FROM txn_lineitem)
+  JOIN (SELECT p_partkey, p_brand, lower(p_name) AS needle, -2 * p_size::BIGINT * 1000000000 + p_partkey AS place FROM part) ON contains(lower(Description), needle)
+  GROUP BY Description) b USING (Description)""",
+    "txn_lineitem",
+)
+def _(v):
+    """One rule per part: its name in the description, priority by size. As many rules as there are parts."""
+    condition = F.to_json(F.struct(F.lit("Description").alias("field"), F.lit("contains").alias("operator"), F.col("p_name").alias("value")))
+    rules = v.part.select(
+        F.col("p_partkey").alias("seq"), F.format_string("rule_%d", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"),
+        F.col("p_type").alias("subcategory"), (F.col("p_size") * 2).alias("priority"), F.lit(True).alias("active"), condition.alias("conditions"),
+    )
+    done = indexed.categorize_from_table(v.txn_lineitem, rules, rule_id_column="rule_id")
+    return done.select("Date", "Amount", "Sequence_Number", "Category", "rule_id")
+
+
+def regex_rules(count: int) -> RuleSet:
+    return RuleSet(tuple(
+        Rule(id=f"r{i}", name=f"r{i}", category=f"Group {i % 7}", conditions=leaf("Counterparty_Name", "regex", f"#0*{i}$")) for i in range(count)
+    ))
+
+
+@query(
+    "categorize_regex_from_table",
+    """SELECT Date, Amount, Sequence_Number, CASE WHEN n < 2000 THEN 'Group ' || (n % 7) ELSE '' END AS Category
+FROM (SELECT *, cast(substr(Counterparty_Name, 10) AS integer) AS n FROM txn_lineitem)""",
+    "txn_lineitem",
+)
+def _(v):
+    done = indexed.categorize_from_table(v.txn_lineitem, regex_rules(2000).to_table(v.spark))
+    return done.select("Date", "Amount", "Sequence_Number", "Category")
+
+
 # --- Filters and search ------------------------------------------------------
 
 
@@ -808,6 +858,41 @@ def _(v):
     return analytics.yearly_pivot(demo_marked(v))
 
 
+# Three batches: labels for large incomes, then no labels for orders of 1997, then labels for the uneven ones of these.
+_CHANGED = f"""{CATEGORIZED}, labels_after AS (
+  SELECT Transaction_ID, Category FROM labels_orders l WHERE NOT EXISTS (SELECT 1 FROM txn_orders t WHERE t.Transaction_ID = l.Transaction_ID AND (Amount > 200000 OR year(Date) = 1997))
+  UNION ALL SELECT Transaction_ID, 'Large' FROM txn_orders WHERE Amount > 200000 AND year(Date) <> 1997
+  UNION ALL SELECT Transaction_ID, 'Late' FROM txn_orders WHERE year(Date) = 1997 AND Sequence_Number % 2 = 1),
+marked AS (SELECT t.*, CASE WHEN trim(coalesce(l.Category, c.Category)) <> '' THEN 'Categorized' ELSE 'Uncategorized' END AS Status
+  FROM txn_orders t JOIN categorized c USING (Sequence_Number) LEFT JOIN labels_after l ON l.Transaction_ID = t.Transaction_ID)"""
+
+
+@query("yearly_pivot_incremental", f"{_PIVOT_SQL} FROM marked WHERE Date IS NOT NULL GROUP BY 1", "txn_orders", "labels_orders", also=_CHANGED)
+def _(v):
+    def new(rows: DataFrame, category: str, at: str) -> DataFrame:
+        return labels.label_rows(rows.select("Transaction_ID", F.lit(category).alias("Category"), F.lit("x").alias("Subcategory")), at)
+
+    large, year = v.txn_orders.filter("Amount > 200000"), v.txn_orders.filter("year(Date) = 1997")
+    batches = [
+        (large, lambda store: labels.upsert_labels(store, new(large, "Large", "2024-03-01 00:00:00"))),
+        (year, lambda store: labels.delete_labels(store, year)),
+        (year.filter("Sequence_Number % 2 = 1"), lambda store: labels.upsert_labels(store, new(year.filter("Sequence_Number % 2 = 1"), "Late", "2024-03-02 00:00:00"))),
+    ]
+    base, kept = f"{scratch_folder(v.spark)}/labels", f"{scratch_folder(v.spark)}/counts"
+    tables.write_snapshot(v.labels_orders, base)
+    counts = analytics.yearly_counts(demo_marked(v))
+    tables.write_snapshot(counts, kept)
+    for touched, change in batches:
+        before = tables.read_latest(v.spark, base, v.labels_orders.schema)
+        tables.write_snapshot(change(before), base)
+        after = tables.read_latest(v.spark, base, v.labels_orders.schema)
+        # Only the batch's transactions are looked at; the counts of all others stay as they were kept.
+        ruled = matching.categorize(touched, DEMO_RULES)
+        changes = analytics.status_changes(labels.overlay(ruled, before), labels.overlay(ruled, after))
+        tables.write_snapshot(analytics.merged_counts(tables.read_latest(v.spark, kept, counts.schema), changes), kept)
+    return analytics.pivot_of_counts(tables.read_latest(v.spark, kept, counts.schema))
+
+
 @query(
     "yearly_progress",
     f"""{_PIVOT_SQL}, round_even(count(*) FILTER (Status = 'Categorized') / count(*) * 100 * 10, 0) / 10 AS Categorized_Pct
@@ -1119,7 +1204,7 @@ def _(v):
 
 @query("page_deep", "SELECT * FROM positions WHERE position BETWEEN 12001 AND 12050", "txn_orders", also=_POSITIONS)
 def _(v):
-    return paging.page(v.txn_orders.select("Transaction_ID", "Date"), _txn_order(), 241, 50)
+    return paging.page_by_keys(v.txn_orders.select("Transaction_ID", "Date"), ["Date", "Transaction_ID"], 241, 50)
 
 
 @query("row_positions", "SELECT * FROM positions", "txn_orders", also=_POSITIONS)

@@ -120,6 +120,10 @@ def test_pages(spark, monkeypatch):
     monkeypatch.setattr(paging, "TOP_K_LIMIT", 5)
     assert sorted(map(tuple, paging.page(df, order, 3, 7).collect())) == shallow
     assert paging.page(df, order, 16, 7).count() == 0
+    monkeypatch.setattr(paging, "SORTED_ROWS", 3)
+    monkeypatch.setattr(paging, "_WIDTH", 2)
+    for number in (1, 3, 9, 14, 15, 16):
+        assert sorted(map(tuple, paging.page_by_keys(df, ["k", "id"], number, 7).collect())) == sorted(map(tuple, paging.page(df, order, number, 7).collect()))
     assert paging.row_at(df, order, 12).first().id == 11
     assert paging.last_row(df, [F.desc("k"), F.desc("id")]).first().id == 99
     after = [(r.k, r.id) for r in paging.rows_after(df, ["k", "id"], [3, 83], 3).collect()]
