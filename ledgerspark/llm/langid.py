@@ -32,7 +32,7 @@ class Settings:
     One more class stands for what is no known language; it is learned from made-up texts, ``noise`` times as many as a
     language has. A text is rejected if its calibrated score is below the lowest one at which accepted texts
     (made-up ones among them) are right with ``precision``, but of the texts told rightly only ``lost`` may
-    go; and in any case below ``floor`` times the score of a blind guess. Every text is learned from a
+    go, and none that is more likely in its language than not; and in any case below ``floor`` times the score of a blind guess. Every text is learned from a
     second time as a passage of ``passage`` characters at most, as short texts look different. Small samples are gone
     through more often, for ``steps`` in all.
     """
@@ -220,7 +220,7 @@ def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
     good = np.flatnonzero(precision >= model.settings.precision)
     lowest = 0.0 if len(good) and good[-1] == len(order) - 1 else top[order][good[-1]] if len(good) else 1.0
     spared = np.quantile(top[right], model.settings.lost) if right.any() else 1.0
-    model.threshold = float(max(model.settings.floor / (len(model.languages) + 1), min(lowest, spared)))
+    model.threshold = float(max(model.settings.floor / (len(model.languages) + 1), min(lowest, spared, 0.5)))
 
 
 def held_out(key: str) -> F.Column:
