@@ -16,6 +16,7 @@ from ledgerspark.plans.views import Views, with_views
 from ledgerspark.schema import KEY_COLUMN, LAYOUT_A, LAYOUT_B, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
 from ledgerspark.session import scratch_folder
 from ledgerspark.sources import documents, exports, tables
+from ledgerspark.sources.keyed_store import KeyedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1524,6 +1525,64 @@ def _(v):
     return tables.read_latest(v.spark, base, v.labels_orders.schema)
 
 
+# Three batches on a stored table: corrections, labels taken away, and labels for some of what was there before.
+_STORE_CHANGES = """corrected AS (
+  SELECT l.* FROM labels_orders l WHERE NOT EXISTS (SELECT 1 FROM txn_orders t
+    WHERE t.Transaction_ID = l.Transaction_ID AND ends_with(t.Description, 'MACHINERY'))
+  UNION ALL SELECT Transaction_ID, CASE WHEN Amount < 0 THEN 'Health' ELSE 'Draft' END,
+    CASE WHEN Amount < 0 THEN 'Care' ELSE 'Draft' END,
+    CASE WHEN Amount < 0 THEN '2024-02-01 09:00:00' ELSE '2024-02-01 08:00:00' END, 'Manual'
+  FROM txn_orders WHERE ends_with(Description, 'MACHINERY')),
+fewer AS (SELECT c.* FROM corrected c WHERE NOT EXISTS (SELECT 1 FROM txn_orders t
+    WHERE t.Transaction_ID = c.Transaction_ID AND (t.Amount > 0 AND t.Sequence_Number % 2 = 0 OR t.Sequence_Number % 5 = 0))),
+later AS (SELECT f.* FROM fewer f WHERE NOT EXISTS (SELECT 1 FROM txn_orders t WHERE t.Transaction_ID = f.Transaction_ID AND t.Sequence_Number % 10 = 0)
+  UNION ALL SELECT Transaction_ID, 'Leisure', 'Late', '2024-03-01 08:00:00', 'Manual' FROM txn_orders WHERE Sequence_Number % 10 = 0)"""
+
+
+def _changed_store(v: Views) -> KeyedStore:
+    store = KeyedStore(v.spark, f"{scratch_folder(v.spark)}/labels", v.labels_orders.schema, ("Transaction_ID",))
+    store.create(v.labels_orders, buckets=8)
+    store.change(upserts=_label_changes(v), order="Date_Categorized")
+    store.change(deletes=v.txn_orders.filter("Amount > 0 AND Sequence_Number % 2 = 0 OR Sequence_Number % 5 = 0"))
+    late = v.txn_orders.filter("Sequence_Number % 10 = 0").select("Transaction_ID", F.lit("Leisure").alias("Category"), F.lit("Late").alias("Subcategory"))
+    store.change(upserts=labels.label_rows(late, "2024-03-01 08:00:00"))
+    return store
+
+
+@query("label_store_after_changes", "SELECT * FROM later", "txn_orders", "labels_orders", also=_STORE_CHANGES)
+def _(v):
+    return _changed_store(v).read()
+
+
+@query(
+    "label_store_compacted",
+    "SELECT l.* FROM later l WHERE NOT EXISTS (SELECT 1 FROM txn_orders t WHERE t.Transaction_ID = l.Transaction_ID AND t.Amount < -100000)",
+    "txn_orders", "labels_orders", also=_STORE_CHANGES,
+)
+def _(v):
+    store = _changed_store(v)
+    store.compact()
+    store.change(deletes=v.txn_orders.filter("Amount < -100000"))
+    store.clean()
+    return store.read()
+
+
+@query(
+    "tree_store_after_changes",
+    """SELECT category, subcategory, CASE WHEN category = 'Brand#11' THEN 'new' ELSE description END AS description,
+       CASE WHEN category = 'Brand#11' THEN true ELSE active END AS active
+FROM tree_part WHERE category = 'Brand#11' OR active IS NULL OR active""",
+    "tree_part",
+)
+def _(v):
+    store = KeyedStore(v.spark, f"{scratch_folder(v.spark)}/tree", v.tree_part.schema, ("category", "subcategory"))
+    store.create(v.tree_part, buckets=4)
+    store.change(deletes=v.tree_part.filter("NOT active"))
+    brand = v.tree_part.filter("category = 'Brand#11'")
+    store.change(upserts=brand.select("category", "subcategory", F.lit("new").alias("description"), F.lit(True).alias("active")))
+    return store.read()
+
+
 @query("label_store_csv", "SELECT * FROM labels_orders", "labels_orders")
 def _(v):
     path = f"{scratch_folder(v.spark)}/labels"

@@ -33,6 +33,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop_path)
 
 
+def folder_names(spark: SparkSession, base: str, prefix: str) -> list[str]:
+    """The names in a folder that begin so, in order; none if the folder isn't there."""
+    system, hadoop_path = _file_system(spark, base)
+    names = [status.getPath().getName() for status in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
+    return sorted(name for name in names if name.startswith(prefix))
+
+
+def complete_folders(spark: SparkSession, base: str, prefix: str, marker: str = "_SUCCESS") -> list[str]:
+    """Those of these folders that were written to their end."""
+    return [name for name in folder_names(spark, base, prefix) if path_exists(spark, f"{base}/{name}/{marker}")]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, hadoop_path = _file_system(spark, path)
+    system.delete(hadoop_path, True)
+
+
 def table_status(spark: SparkSession, path: str) -> str:
     return "Available" if path_exists(spark, path) else "Not Found"
 
@@ -104,11 +121,7 @@ def write_snapshot(df: DataFrame, base: str, now: dt.datetime | None = None) ->
 
 def latest_snapshot(spark: SparkSession, base: str) -> str | None:
     """The newest snapshot that was written to its end."""
-    system, hadoop_path = _file_system(spark, base)
-    if not system.exists(hadoop_path):
-        return None
-    names = sorted(status.getPath().getName() for status in system.listStatus(hadoop_path))
-    complete = [name for name in names if name.startswith("snapshot=") and path_exists(spark, f"{base}/{name}/_SUCCESS")]
+    complete = complete_folders(spark, base, "snapshot=")
     return f"{base}/{complete[-1]}" if complete else None
 
 
@@ -127,9 +140,7 @@ def append_segment(df: DataFrame, base: str, now: dt.datetime | None = None) ->
 
 def read_segments(spark: SparkSession, base: str, schema: T.StructType | str) -> DataFrame:
     """All segments that were written to their end; empty when there are none."""
-    system, hadoop_path = _file_system(spark, base)
-    names = sorted(status.getPath().getName() for status in system.listStatus(hadoop_path)) if system.exists(hadoop_path) else []
-    paths = [f"{base}/{name}" for name in names if name.startswith("segment=") and path_exists(spark, f"{base}/{name}/_SUCCESS")]
+    paths = [f"{base}/{name}" for name in complete_folders(spark, base, "segment=")]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
