@@ -19,6 +19,8 @@ from ledgerspark.operators.labels import latest_per_key, merge_by_key, one_per_k
 from ledgerspark.sources.tables import complete_folders, delete_folder, folder_names
 
 BUCKET, SEGMENT, DELETED = "__bucket", "segment", "__deleted"
+#: Keys of pending changes are broadcast up to this size, counted before; beyond it both sides are dealt by key.
+BROADCAST_BYTES = 32 << 20
 _MANIFEST_SCHEMA = "bucket int, path string, through long"
 
 
@@ -70,8 +72,8 @@ class KeyedStore:
     def read(self) -> DataFrame:
         """The table as of the last segment that was written to its end.
 
-        Only changes that no bucket holds yet are reduced by key; where they are few the join to them is a
-        broadcast and the rows don't move.
+        Only changes that no bucket holds yet are reduced by key. Their keys' size is counted when this is called: up to
+        ``BROADCAST_BYTES`` the join to them is a broadcast and the rows don't move.
         """
         return self._resolved(self._manifest(), self._segments())
 
@@ -167,5 +169,9 @@ class KeyedStore:
         rows = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
         if not segments:
             return rows
-        newest = latest_per_key(self._changes(manifest, segments), list(self.keys), SEGMENT)
-        return merge_by_key(rows, list(self.keys), deletes=newest).unionByName(newest.filter(~F.col(DELETED)).select(*columns))
+        changes = self._changes(manifest, segments)
+        newest = latest_per_key(changes, list(self.keys), SEGMENT)
+        width = sum((F.octet_length(F.col(k).cast("string")) for k in self.keys), F.lit(16))
+        size = changes.agg(F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()["size"]
+        gone = newest.select(*self.keys)
+        return merge_by_key(rows, list(self.keys), deletes=F.broadcast(gone) if size <= BROADCAST_BYTES else gone).unionByName(newest.filter(~F.col(DELETED)).select(*columns))

@@ -3,8 +3,9 @@ import random
 import pytest
 
 from ledgerspark.schema import LABEL_SCHEMA
+from ledgerspark.sources import keyed_store
 from ledgerspark.sources.keyed_store import KeyedStore
-from ledgerspark.sources.tables import folder_names
+from ledgerspark.sources.tables import delete_folder, folder_names
 
 
 def label(key, category, at="2024-01-01 00:00:00"):
@@ -25,7 +26,9 @@ def made(spark, tmp_path):
     return make
 
 
-def test_batches_and_compactions_in_any_order_agree_with_a_dictionary(spark, made):
+@pytest.mark.parametrize("bound", [0, keyed_store.BROADCAST_BYTES])
+def test_batches_and_compactions_in_any_order_agree_with_a_dictionary(spark, made, monkeypatch, bound):
+    monkeypatch.setattr(keyed_store, "BROADCAST_BYTES", bound)
     chance = random.Random(5)
     plain = {f"T{i}": "old" for i in range(40)}
     store = made([label(k, c) for k, c in plain.items()], 8)
@@ -69,8 +72,6 @@ def test_the_last_change_counts_and_upserts_go_before_deletions(spark, made):
 def test_what_was_not_written_to_its_end_does_not_count(spark, made):
     store = made([label("A", "old")])
     number = store.change(spark.createDataFrame([label("A", "new")], LABEL_SCHEMA))
-    from ledgerspark.sources.tables import delete_folder
-
     delete_folder(spark, f"{store.base}/segment={number}/_SUCCESS")
     assert held(store) == {"A": "old"}
     assert store.change(spark.createDataFrame([label("A", "newer")], LABEL_SCHEMA)) == number + 1
@@ -92,6 +93,15 @@ def test_empty_tables_empty_batches_and_numbers_after_cleaning(spark, made):
     assert folder_names(spark, store.base, "segment=")[-1] == "segment=4"
 
 
+def test_rows_stay_in_place_where_changes_are_few(spark, made, monkeypatch):
+    store = made([label(f"T{i}", "old") for i in range(100)])
+    store.change(spark.createDataFrame([label("T1", "new")], LABEL_SCHEMA))
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [Transaction_ID" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(keyed_store, "BROADCAST_BYTES", 0)
+    assert sorted(held(store).values()).count("new") == 1
+
+
 def test_wrong_use_is_an_error(spark, made):
     store = made([label("A", "old")])
     with pytest.raises(ValueError):
