@@ -41,6 +41,8 @@ GUARDED_LEAVES = 30
 MAX_ALTERNATIVES = 256
 # Leaves of one CASE at most; more are spread over several projections.
 CHUNK_LEAVES = 200
+# A pattern, with the texts that are looked for before it, counts as so many, or Java wouldn't compile the method.
+PATTERN_LEAVES = 10
 # The values of one field's equality leaves, with what they lead to, are broadcast up to this size.
 BROADCAST_BYTES = 64 << 20
 
@@ -114,7 +116,7 @@ def _with_first(df: DataFrame, trees: list[tuple[int, object]], operands: Operan
     chunks: list[list] = [[]]
     size = 0
     for rank, tree in trees:
-        more = len(tree_leaves(tree))
+        more = sum(PATTERN_LEAVES if leaf.kind == "regex" else 1 for leaf in tree_leaves(tree))
         if chunks[-1] and size + more > CHUNK_LEAVES:
             chunks.append([])
             size = 0
