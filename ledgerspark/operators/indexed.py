@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import json
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.conditions import NUMERIC_KINDS, Leaf, Operands, Options, Shape, conjuncts, parse, resolve_tree
+from ledgerspark.operators.conditions import NUMERIC_KINDS, Leaf, Operands, Options, Shape, conjuncts, literal_runs, parse, resolve_tree
 from ledgerspark.operators.rules import DEFAULT_PRIORITY, Rule
 from ledgerspark.session import ship_package
 
@@ -36,40 +35,7 @@ _LEADS = f"array<struct<rank:{_RANK},rest:array<{_LEAF}>>>"
 
 def literal_factor(pattern: str) -> str:
     """The longest run of ASCII characters that every match of a pattern (in the rules' dialect) contains; empty if none is certain."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        from re import _parser as parser
-
-        try:
-            tree = parser.parse(pattern)
-        except (re.error, RecursionError, OverflowError):
-            return ""
-    best, run = "", ""
-
-    def ends() -> None:
-        nonlocal best, run
-        best, run = max(best, run, key=len), ""
-
-    def walk(items) -> None:
-        nonlocal run
-        for kind, value in items:
-            name = str(kind)
-            if name == "LITERAL" and value < 128:
-                run += chr(value)
-            elif name == "AT":
-                continue  # No characters of its own.
-            elif name == "SUBPATTERN":
-                walk(value[-1])
-            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
-                ends()
-                walk(value[2])
-                ends()
-            else:
-                ends()
-
-    walk(tree)
-    ends()
-    return best
+    return max(literal_runs(pattern), key=len, default="")
 
 
 def _packed(leaf: Leaf) -> dict:
@@ -112,7 +78,8 @@ def alternatives(rules: DataFrame, df: DataFrame, options: Options = Options())
     """One row per alternative of an active rule with a usable tree: rank, anchor, needle and rest (the other leaves).
 
     ``rank`` orders by priority, then by place in the document (``seq``). Trees are taken apart in tasks, rule by rule; nothing comes
-    to the driver. Alternatives with a pattern that Java refuses can't hold and are dropped.
+    to the driver. Of rules with the same conditions only the first can win, and of equal alternatives too, so one of each is kept.
+    Alternatives with a pattern that Java refuses can't hold and are dropped.
     """
     ship_package(df.sparkSession)
     shape, default = Shape(df.schema), DEFAULT_PRIORITY
@@ -120,7 +87,7 @@ def alternatives(rules: DataFrame, df: DataFrame, options: Options = Options())
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for seq, priority, conditions in zip(batch["seq"], batch["priority"], batch["conditions"]):
+            for order, seq, conditions in zip(batch["order"], batch["seq"], batch["conditions"]):
                 try:
                     tree = resolve_tree(parse(conditions), shape, options)
                 except ValueError:
@@ -133,16 +100,29 @@ def alternatives(rules: DataFrame, df: DataFrame, options: Options = Options())
                 for one in flat:
                     anchor = _anchor(one)
                     rest = sorted((leaf for leaf in one if leaf != anchor), key=lambda leaf: _KINDS.index(leaf.kind), reverse=True)
-                    rank = (-int(default if pd.isna(priority) else priority), int(seq))
-                    rows.append((*rank, json.dumps(_packed(anchor)), _needle(anchor), json.dumps([_packed(leaf) for leaf in rest])))
+                    rows.append((int(order), int(seq), json.dumps(_packed(anchor)), _needle(anchor), json.dumps([_packed(leaf) for leaf in rest])))
             yield pd.DataFrame(rows, columns=["order", "seq", "anchor", "needle", "rest"])
 
     active = rules.filter(F.coalesce("active", F.lit(True)) & F.col("conditions").isNotNull() & ~F.col("conditions").isin("", "{}", "null", "[]"))
-    found = active.select("seq", "priority", "conditions").mapInPandas(expand, "order long, seq long, anchor string, needle string, rest string")
+    order = -F.coalesce(F.col("priority").cast("long"), F.lit(default).cast("long"))
+    first = active.groupBy("conditions").agg(F.min(F.struct(order.alias("order"), F.col("seq").cast("long").alias("seq"))).alias("rank"))
+    found = first.select("rank.order", "rank.seq", "conditions").mapInPandas(expand, "order long, seq long, anchor string, needle string, rest string")
     found = found.select(
         F.struct("order", "seq").alias("rank"), F.from_json("anchor", _LEAF).alias("anchor"), "needle", F.from_json("rest", f"array<{_LEAF}>").alias("rest")
     )
-    return found.filter("forall(concat(array(anchor), rest), x -> x.kind <> 'regex' OR try_reflect('java.util.regex.Pattern', 'compile', x.text) IS NOT NULL)")
+    usable = found.filter("forall(concat(array(anchor), rest), x -> x.kind <> 'regex' OR try_reflect('java.util.regex.Pattern', 'compile', x.text) IS NOT NULL)")
+    return _undominated(usable, "anchor", "needle")
+
+
+def _undominated(leads: DataFrame, *keys: str) -> DataFrame:
+    """Of rows with rank and rest those that can win where their keys are met: the first without further leaves, and of others that come before it one for each rest."""
+    free = F.size("rest") == 0
+    sure = leads.filter(free).groupBy(*keys).agg(F.min("rank").alias("rank"))
+    tested = leads.filter(~free).groupBy(*keys, "rest").agg(F.min("rank").alias("rank"))
+    before = sure.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("rank").alias("__sure"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    tested = tested.join(before, same, "left").filter(F.col("__sure").isNull() | (F.col("rank") < F.col("__sure"))).select(*keys, "rank", "rest")
+    return sure.select(*keys, "rank", F.array().cast(f"array<{_LEAF}>").alias("rest")).unionByName(tested)
 
 
 def _test(leaf: Column, text: Column, number: Column) -> Column:
@@ -195,6 +175,12 @@ def met_by_index(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return made.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, "run").select("text", "number")
 
 
+def _sized(df: DataFrame, bytes_: Column) -> DataFrame:
+    """A table that is kept already, to be broadcast if it is small, so that the wide side of a join doesn't move."""
+    size = df.agg(F.sum(bytes_ + 40)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def _cases(sizes: list[int], build) -> Column:
     out = None
     for s in sizes:
@@ -204,7 +190,7 @@ def _cases(sizes: list[int], build) -> Column:
 
 def leads_by_text(texts: DataFrame, anchored: DataFrame) -> DataFrame:
     """For each different text (column ``text``) what its anchors lead to: leads, best first, up to one without further leaves."""
-    equal = anchored.filter("anchor.kind = 'set'").select(F.explode(F.array_distinct("anchor.list")).alias("text"), "rank", "rest")
+    equal = _undominated(anchored.filter("anchor.kind = 'set'").select(F.explode(F.array_distinct("anchor.list")).alias("text"), "rank", "rest"), "text")
     found = texts.join(equal, "text")
     others = anchored.filter("anchor.kind <> 'set'").withColumn("number", F.monotonically_increasing_id()).checkpoint()
     met = met_by_index(texts, others.select("number", "needle")).join(others.select("number", "anchor", "rank", "rest"), "number")
@@ -241,8 +227,9 @@ def categorize_from_table(df: DataFrame, rules: DataFrame, options: Options = Op
     for i, (field, folded) in enumerate(sorted(anchors)):
         name = texts[f"{field}|{str(folded).lower()}"]
         own = known.filter((F.col("anchor.field") == field) & (F.col("anchor.folded") == folded) & ~F.col("anchor.kind").isin(*NUMERIC_KINDS))
-        different = operands.df.select(F.col(name).alias("text")).filter("text IS NOT NULL").distinct()
-        found = leads_by_text(different, own).select(F.col("text").alias(f"__met_{i}"), F.col("leads").alias(f"__leads_{i}"))
+        different = operands.df.select(F.col(name).alias("text")).filter("text IS NOT NULL").distinct().checkpoint()
+        found = leads_by_text(different, own).select(F.col("text").alias(f"__met_{i}"), F.col("leads").alias(f"__leads_{i}")).checkpoint()
+        found = _sized(found, F.octet_length(f"__met_{i}") + F.octet_length(F.col(f"__leads_{i}").cast("string")))
         rows = rows.join(found, F.col(name) == F.col(f"__met_{i}"), "left").drop(f"__met_{i}")
         leads.append(F.coalesce(f"__leads_{i}", F.array().cast(_LEADS)))
     lone = known.filter(F.col("anchor.kind").isin(*NUMERIC_KINDS)).agg(
@@ -265,10 +252,13 @@ def categorize_from_table(df: DataFrame, rules: DataFrame, options: Options = Op
 
         complete = F.filter("__leads", lambda lead: F.forall(lead["rest"], holds))
         ranked = rows.withColumn("__rank", F.array_min(F.transform(complete, lambda lead: lead["rank"])))
-    answers = rules.select(
+    winners = known.select(F.col("rank.seq").alias("seq")).distinct()
+    answers = rules.join(winners, "seq", "left_semi").select(
         F.col("seq").cast("long").alias("__seq"), F.col("id").alias("__id"),
         *[F.coalesce(name, F.lit("")).alias(f"__{name}") for name in ("category", "subcategory")], F.concat(F.lit("Rule: "), F.coalesce("name", F.lit(Rule.name))).alias("__source"),
     )
+    answers = answers.checkpoint()
+    answers = _sized(answers, F.octet_length(F.concat_ws("", "__id", "__category", "__subcategory", "__source")) + 8)
     joined = ranked.withColumn("__won", F.col("__rank.seq")).join(answers, F.col("__won") == F.col("__seq"), "left")
     columns = [*kept, *[F.coalesce(f"__{n}", F.lit("")).alias(m) for n, m in (("category", "Category"), ("subcategory", "Subcategory"), ("source", "Categorization_Source"))]]
     return joined.select(*columns, *([F.col("__id").alias(rule_id_column)] if rule_id_column else []))
