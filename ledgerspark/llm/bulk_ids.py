@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from ledgerspark.llm.common import process_cache
-from ledgerspark.llm.packing import text_ids
+from ledgerspark.llm.chunks import Chunks
+from ledgerspark.llm.common import process_cache, slices
 from ledgerspark.llm.rank_merge import Vocabulary
 
 #: Chunks that a process remembers at most; then those seen in one batch only are forgotten.
@@ -19,6 +19,35 @@ CHUNKS = 400_000
 #: Bytes of text that one step splits.
 STEP_BYTES = 8 << 20
 
+#: Small batches are put together up to this size: a chunk is looked up once in a batch, however often it comes.
+GATHER_BYTES = 4 << 20
+
+
+@process_cache
+def _encoder(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
+    vocabulary = Vocabulary(path)
+
+    def encode(tokens: list[str]) -> list[bytes]:
+        ids, counts = vocabulary.merger.merge([t.encode() for t in tokens])
+        data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    return vocabulary, Chunks(pattern, encode)
+
+
+def text_ids(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """The ids of each text as the tokenizers file gives them, as little-endian unsigned 32-bit integers."""
+    vocabulary, chunks = _encoder(path, pattern)
+    out: list[bytes] = []
+    for start, end in slices(texts):
+        cut = [vocabulary.segments(t) for t in texts[start:end]]
+        values = iter(chunks.values(list(chain.from_iterable(parts for parts, _ in cut))))
+        for parts, added in cut:
+            ids = [b"".join(next(values)) for _ in parts]
+            marks = [i.to_bytes(4, "little") for i in added]
+            out.append(b"".join(chain.from_iterable(zip(ids, [*marks, b""]))))
+    return out
+
 
 class ChunkPool:
     """The ids of chunks, one behind the other in one array.

@@ -110,8 +110,22 @@ def claim(module: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
-def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function from one record batch to a list of columns."""
+def merged(found: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches with rows, put together until they hold ``limit`` bytes."""
+    held, size = [], 0
+    for batch in found:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if held and size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def arrow_map(df: DataFrame, function, schema: str | T.StructType, gather: int = 0) -> DataFrame:
+    """``mapInArrow`` with a function from one record batch to a list of columns; small batches are put together up to ``gather`` bytes."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     kinds = to_arrow(schema)
     prepare(df.sparkSession)
@@ -119,7 +133,7 @@ def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(module)
-        for batch in found:
+        for batch in merged(found, gather) if gather else found:
             if batch.num_rows:
                 columns = function(batch)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(columns, kinds.types)], schema=kinds)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,35 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.chunks import Chunks
-from ledgerspark.llm.common import arrow_map, as_texts, numbered, process_cache, slices, staged
-from ledgerspark.llm.rank_merge import Vocabulary
-
-
-@process_cache
-def _encoder(path: str, pattern: str) -> tuple[Vocabulary, Chunks]:
-    vocabulary = Vocabulary(path)
-
-    def encode(tokens: list[str]) -> list[bytes]:
-        ids, counts = vocabulary.merger.merge([t.encode() for t in tokens])
-        data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
-        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-
-    return vocabulary, Chunks(pattern, encode)
-
-
-def text_ids(texts: list[str], path: str, pattern: str) -> list[bytes]:
-    """The ids of each text as the tokenizers file gives them, as little-endian unsigned 32-bit integers."""
-    vocabulary, chunks = _encoder(path, pattern)
-    out: list[bytes] = []
-    for start, end in slices(texts):
-        cut = [vocabulary.segments(t) for t in texts[start:end]]
-        values = iter(chunks.values(list(chain.from_iterable(parts for parts, _ in cut))))
-        for parts, added in cut:
-            ids = [b"".join(next(values)) for _ in parts]
-            marks = [i.to_bytes(4, "little") for i in added]
-            out.append(b"".join(chain.from_iterable(zip(ids, [*marks, b""]))))
-    return out
+from ledgerspark.llm.bulk_ids import GATHER_BYTES, ended_ids, text_ids  # noqa: F401
+from ledgerspark.llm.common import arrow_map, numbered, staged
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -52,21 +24,21 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_i
     schema = T.StructType([T.StructField(key, kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
     if with_ids:
         schema = schema.add("ids", T.BinaryType())
-    last = end_id.to_bytes(4, "little")
 
     def cut(batch: pa.RecordBatch) -> list:
         rows = []
-        for name, ids in zip(batch.column(0).to_pylist(), text_ids(as_texts(batch.column(1)), path, pattern)):
-            ids += last
-            n = len(ids) // 4
+        ids, counts = ended_ids(batch.column(1), path, pattern, end_id)
+        data = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
+        ends = np.cumsum(counts)
+        for name, begin, n in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), counts.tolist()):
             first = (n - 1) % capacity + 1
             for i, end in enumerate(range(first, n + 1, capacity)):
                 start = max(0, end - capacity) if i else 0
-                own = ids[4 * start : 4 * end]
-                rows.append((name, i, start, end - start, zlib.crc32(own), own)[: len(schema)])
+                own = data[4 * (begin + start) : 4 * (begin + end)]
+                rows.append((name, i, start, end - start, zlib.crc32(own), bytes(own) if with_ids else None)[: len(schema)])
         return [list(c) for c in zip(*rows)]
 
-    return arrow_map(docs.select(key, text), cut, schema)
+    return arrow_map(docs.select(key, text), cut, schema, GATHER_BYTES)
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> dict[int, int]:

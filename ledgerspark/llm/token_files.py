@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.bulk_ids import ended_ids
+from ledgerspark.llm.bulk_ids import GATHER_BYTES, ended_ids
 from ledgerspark.llm.common import arrow_map
 
 
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
         return [pa.array(np.full(len(counts), shard, np.int32)), batch.column(0), pa.array(begun + ends - counts), pa.array(counts), lists]
 
-    arrow_map(in_order(docs, key, text), encode, kinds).write.options(**layout.options()).parquet(f"{path}/tokens")
+    arrow_map(in_order(docs, key, text), encode, kinds, GATHER_BYTES).write.options(**layout.options()).parquet(f"{path}/tokens")
     spark = docs.sparkSession
     sizes = spark.read.schema(kinds).parquet(f"{path}/tokens").groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     # One row per file, so a window over all of them is short.
