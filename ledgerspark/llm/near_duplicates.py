@@ -205,7 +205,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", settings:
     texts = staged(candidate_texts(nodes, pairs, source))
     links = staged(verified(pairs, texts, shared, settings))
     label = components(links)
-    label = closed(unsettled(met, label), nodes, texts, links, label, shared, settings)
+    label = closed(unsettled(met, label), nodes, texts, label, shared, settings)
     named = nodes.join(label, "n", "left").select("_node", "first", F.coalesce("label", "n").alias("label"))
     named = staged(named)
     keeper = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_node")))
@@ -291,7 +291,7 @@ def meetings(open_: DataFrame, texts: DataFrame, weights) -> DataFrame:
 PIVOTS = 8
 
 
-def closed(open_: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, label: DataFrame, weights, settings: Settings) -> DataFrame:
+def closed(open_: DataFrame, nodes: DataFrame, texts: DataFrame, label: DataFrame, weights, settings: Settings) -> DataFrame:
     """``label`` after all links between nodes of ``open_`` that share a band.
 
     In each round some nodes of a meeting, the centre and others by hash, stand against those in other components,
@@ -320,8 +320,7 @@ def closed(open_: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFram
         pairs = staged(pairs.filter(F.arrays_overlap("bands_a", "bands_b")).select("a", "b"))
         found = staged(verified(pairs, texts, weights, settings))
         if found.take(1):
-            links = links.unionByName(found)
-            label = components(links)
+            label = joined_labels(label, found)
         entries, pivots = live.filter("NOT pivot").select("key", "n", "total", "rest"), pivots * PIVOTS
 
 
@@ -367,8 +366,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours, then the label of that label, so the rounds grow
     with the logarithm of the longest chain.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = staged(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    both = staged(links.select("a", "b").union(links.select("b", "a")))
+    state = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
     while True:
         near = both.join(state.select(F.col("n").alias("b"), "label"), "b").groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = state.join(near, "n").select("n", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -379,6 +378,17 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def joined_labels(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (of ``components``) after more ``links``: only the components that these connect are looked at, each as one node."""
+    a = label.select(F.col("n").alias("a"), F.col("label").alias("label_a"))
+    b = label.select(F.col("n").alias("b"), F.col("label").alias("label_b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left")
+    step = components(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a != b"))
+    moved = step.select(F.col("n").alias("label"), F.col("label").alias("now"))
+    known = label.join(moved, "label", "left").select("n", F.coalesce("now", "label").alias("label"))
+    return staged(known.unionByName(step.join(label, "n", "left_anti")))
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, with its columns."""
     found = staged(classes(docs, text, key, settings))
