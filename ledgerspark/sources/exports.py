@@ -85,7 +85,7 @@ def load_exports(
         *[F.bool_or(f"has.{name}").alias(name) for name in TRANSACTION_COLUMNS],
     ).first()
 
-    records = records_of(lines, blocks, good, f"{base}/lines" if seen.multi_line else None)
+    records = records_of(lines, good, f"{base}/lines" if seen.multi_line else None)
     present = [name for name in TRANSACTION_COLUMNS if seen.width is None or name in ("Transaction_ID", "Description", ORIGIN_COLUMN) or seen[name]]
     parsed = _parsed(records, good, seen.width or 1, present, layouts, money_type, strip_thousands)
     parsed.write.parquet(f"{base}/rows")
